@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .mixing import OP10_SQL, op10_mixing
+from .quality import op5_quality
+from .toxicity import op4_toxicity
 
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_bpe": op7_bpe,
     "op10_mixing": op10_mixing,
 }
 
