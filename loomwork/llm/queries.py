@@ -6,13 +6,19 @@ from .bpe import op7_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .mixing import OP10_SQL, op10_mixing
 from .quality import op5_quality
+from .quality_rules import op9_quality_rules
+from .substring_dedup import op1_substring_dedup
+from .suffix_dedup import op3_suffix_array_dedup
 from .toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe": op7_bpe,
+    "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
 
