@@ -204,17 +204,17 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     """docs with ``out``, the ids of the whole text as an array of ints; a null or empty text has none. A column
     of that name is replaced. Any other column, null or not, passes as it is."""
     sent = _sent(docs, path, pattern)
-    docs = docs.drop(out).withColumn("_text", whole_text(text))
+    docs = docs.drop(out).withColumn("__text", whole_text(text))
 
     def make():
         coder = _encoder(sent)
 
         def step(cols):
-            return cols | {out: [np.frombuffer(ids, "<u4").astype(np.int32) for ids in coder.encode(cols.pop("_text"))]}
+            return cols | {out: [np.frombuffer(ids, "<u4").astype(np.int32) for ids in coder.encode(cols.pop("__text"))]}
 
         return step
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "_text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__text")
     return in_arrow(docs, f"{schema}, `{out}` array<int>", make)
 
 
@@ -222,14 +222,14 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", ident:
     """Per document: ident, ``n_tokens``, ``ids_sha256`` and, of the decoded ids, ``decoded_sha256``. A null text
     counts as empty; repeated rows and null identifiers are rows like others."""
     sent = _sent(docs, path, pattern)
-    rows = docs.select(ident, whole_text(text).alias("_text"))
+    rows = docs.select(ident, whole_text(text).alias("__text"))
 
     def make():
         coder = _encoder(sent)
 
         def step(cols):
             n, of_ids, of_bytes = [], [], []
-            for ids in coder.encode(cols["_text"]):
+            for ids in coder.encode(cols["__text"]):
                 back = hashlib.sha256()
                 for part in coder.decode(ids):
                     back.update(part)

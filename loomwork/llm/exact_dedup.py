@@ -37,39 +37,41 @@ def exact_dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id", keep
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
     spark = docs.sparkSession
-    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
-    wanted = docs.columns
+    names = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
+    # own names inside, so that no column of docs clashes; the text itself travels once
     norm = (normalise or (lambda c: c))(whole_text(text))
-    keyed = docs.withColumn("_t", norm).withColumn("_h", F.xxhash64("_t")).withColumn("_p", F.substring("_t", 1, PREFIX))
+    bare = normalise is None
+    keyed = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if not (bare and c == text)), F.col(ident).alias("_ident"), F.col(text).isNull().alias("_null"), norm.alias("_t"))
+    keyed = keyed.withColumn("_h", F.xxhash64("_t")).withColumn("_p", F.substring("_t", 1, PREFIX))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     most = max(64, docs.count() // (2 * parts))
     hot = docs.select(F.xxhash64(norm).alias("_h")).groupBy("_h").agg(F.count("*").alias("_n")).filter(F.col("_n") > most)
     salts = F.ceil(F.col("_n") / most).cast("int")
-    keyed = keyed.join(F.broadcast(hot), "_h", "left").withColumn("_salt", F.when(F.col("_n").isNotNull(), 1 + F.pmod(F.xxhash64(ident), salts)).otherwise(0).cast("int")).drop("_n")
-    order = F.col(ident).desc_nulls_last() if keep == "largest" else F.col(ident).asc_nulls_last()
+    keyed = keyed.join(F.broadcast(hot), "_h", "left").withColumn("_salt", F.when(F.col("_n").isNotNull(), 1 + F.pmod(F.xxhash64("_ident"), salts)).otherwise(0).cast("int")).drop("_n")
+    order = F.col("_ident").desc_nulls_last() if keep == "largest" else F.col("_ident").asc_nulls_last()
     best = F.max if keep == "largest" else F.min
 
     def runs(rows: DataFrame) -> DataFrame:
         near = Window.partitionBy("_p", "_h", "_salt", "_t").orderBy(order)
         run = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         rows = rows.repartitionByRange("_p", "_h", "_salt")
-        return rows.select("*", F.row_number().over(near).alias("_rn"), F.first(ident).over(run).alias("_id"), F.count("*").over(run).alias("_size"))
+        return rows.select("*", F.row_number().over(near).alias("_rn"), F.first("_ident").over(run).alias("_id"), F.count("*").over(run).alias("_size"))
 
-    salted = runs(keyed.filter(F.col("_salt") > 0).select(ident, "_t", "_h", "_p", "_salt")).filter(F.col("_rn") == 1)
+    salted = runs(keyed.filter(F.col("_salt") > 0).select("_ident", "_t", "_h", "_p", "_salt")).filter(F.col("_rn") == 1)
     merged = salted.groupBy("_t").agg(best("_id").alias("_all_id"), F.sum("_size").alias("_all"))
-    merged = merged.select(F.sha2("_t", 256).alias("text_sha256"), "_all_id", "_all")
-    rows = runs(keyed).withColumn("text_sha256", F.sha2("_t", 256)).drop("_t")
-    rows = rows.join(F.broadcast(merged), "text_sha256", "left")
+    merged = merged.select(F.sha2("_t", 256).alias("_sha"), "_all_id", "_all")
+    rows = runs(keyed).withColumn("_sha", F.sha2("_t", 256))
+    rows = rows.join(F.broadcast(merged), "_sha", "left")
     hot_row = F.col("_salt") > 0
-    stays = (F.col("_rn") == 1) & (~hot_row | F.col("_id").eqNullSafe(F.col("_all_id")) & F.col("_id").isNotNull())
     # where every identifier of a hot text is null they share one salt, so the run is the group
-    stays = stays | (hot_row & (F.col("_rn") == 1) & F.col("_all_id").isNull())
+    lead = F.col("_id").eqNullSafe(F.col("_all_id"))
+    whole = F.when(~F.col("_null"), F.col("_t"))
     return rows.select(
-        *(F.col(c) for c in wanted),
+        *((whole if bare and c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)),
         F.when(hot_row, F.col("_all_id")).otherwise(F.col("_id")).alias("keep_id"),
         F.when(hot_row, F.col("_all")).otherwise(F.col("_size")).alias("group_size"),
-        stays.alias("kept"),
-        "text_sha256",
+        ((F.col("_rn") == 1) & (~hot_row | lead)).alias("kept"),
+        F.col("_sha").alias("text_sha256"),
     )
 
 

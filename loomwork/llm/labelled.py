@@ -38,7 +38,7 @@ def trained(rows: DataFrame, fit: Callable[[Iterator[tuple[list[str], list[int]]
     importable(rows.sparkSession)
     one = rows.repartition(1).sortWithinPartitions(F.xxhash64("_text"), "_text", "_y")
     found = one.mapInArrow(run, "model binary").collect()
-    return np.frombuffer(found[0][0], np.float32)
+    return np.frombuffer(found[0][0], np.float32) if found else np.asarray(fit(iter(())), np.float32)
 
 
 def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, rounds: int, memory: int = 6) -> np.ndarray:

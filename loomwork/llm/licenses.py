@@ -63,14 +63,14 @@ def document_counts(docs: DataFrame, text: str = "text") -> tuple[dict[str, int]
 
         def step(cols):
             found: dict[str, int] = dict.fromkeys(VOCABULARY, 0)
-            for t in cols["_text"]:
+            for t in cols["__text"]:
                 for w in known & {x.strip(_EDGES) for x in t.lower().split()}:
                     found[w] += 1
-            return {"term": ["", *found], "n": [len(cols["_text"]), *found.values()]}
+            return {"term": ["", *found], "n": [len(cols["__text"]), *found.values()]}
 
         return step
 
-    counts = in_arrow(docs.select(whole_text(text).alias("_text")), "term string, n long", make).groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counts = in_arrow(docs.select(whole_text(text).alias("__text")), "term string, n long", make).groupBy("term").agg(F.sum("n").alias("n")).collect()
     counts = {r["term"]: r["n"] for r in counts}
     return counts, counts.pop("", 0)
 
@@ -117,14 +117,15 @@ def statements(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     """The columns of ``keep``, ``licence`` (null: the text states none), ``cosine`` of its best line and ``line``
     (its number, -1: none). Null and empty texts state none. All lines of a text are looked at."""
     counts, total = document_counts(docs, text)
-    rows = docs.select(*keep, whole_text(text).alias("_text"))
+    keep = tuple(c for c in keep if c not in ("licence", "cosine", "line"))
+    rows = docs.select(*keep, whole_text(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
 
     def make():
         scanner = Scanner(counts, total)
 
         def step(cols):
-            found = [scanner.best(t) for t in cols.pop("_text")]
+            found = [scanner.best(t) for t in cols.pop("__text")]
             return cols | {"licence": [x[0] for x in found], "cosine": [x[1] for x in found], "line": [x[2] for x in found]}
 
         return step

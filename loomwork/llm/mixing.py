@@ -73,11 +73,11 @@ def emitted(docs: DataFrame, size, **how) -> DataFrame:
 
     docs must give the same rows in the same partitions each time it is read, as a table does.
     """
-    columns = docs.columns
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    plan = mix(docs, size, extra=("_row",), **how).filter(F.col("copies") > 0).select("_row", "copies")
-    rows = docs.join(plan, "_row")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    names = docs.columns
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_doc"))
+    plan = mix(docs.withColumn("__row", F.monotonically_increasing_id()), size, extra=("__row",), **how).filter(F.col("copies") > 0)
+    rows = rows.join(plan.select(F.col("__row").alias("_row"), "copies"), "_row")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"_doc.`{c}`").alias(c) for c in names))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -96,11 +96,12 @@ def model(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of ``keep`` and ``score``, from 0 to 1: how likely the whole text is of good quality.
 
-    A null text counts as empty; texts without words get the score of the bias alone, as all do if there were no
+    A kept column named score is replaced. A null text counts as empty; texts without words get the score of the bias alone, as all do if there were no
     labelled rows. Equal texts get equal scores.
     """
     sent = shipped(docs.sparkSession, weights)
-    rows = docs.select(*keep, whole_text(text).alias("_text"))
+    keep = tuple(c for c in keep if c != "score")
+    rows = docs.select(*keep, whole_text(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
 
     def make():
@@ -109,7 +110,7 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple
 
         def step(cols):
             z = []
-            for t in cols.pop("_text"):
+            for t in cols.pop("__text"):
                 at = features(words, t)
                 z.append(bias + (SCALE * float(w[at].mean()) if at.size else 0.0))
             return cols | {"score": sigmoid(np.array(z))}

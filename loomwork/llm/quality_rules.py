@@ -211,18 +211,19 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def judged(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of ``keep`` and those of COLUMNS, for every row.
 
-    A null text has no words, so the base rule fails it, as it does an empty one. Without labelled rows of both
+    Kept columns of those names are replaced. A null text has no words, so the base rule fails it, as it does an empty one. Without labelled rows of both
     kinds all lines count as content. Equal texts, repeated rows included, get the same verdict.
     """
     sent = shipped(docs.sparkSession, weights)
-    rows = docs.select(*keep, whole_text(text).alias("_text"))
+    keep = tuple(c for c in keep if c not in COLUMNS)
+    rows = docs.select(*keep, whole_text(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
 
     def make():
         label = Labeller(sent.value)
 
         def step(cols):
-            found = [judge(t, label) for t in cols.pop("_text")]
+            found = [judge(t, label) for t in cols.pop("__text")]
             return cols | dict(zip(COLUMNS, zip(*found, strict=True), strict=True)) if found else None
 
         return step

@@ -92,18 +92,19 @@ def model(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of ``keep`` and ``score``, from 0 to 1: how likely the whole text is toxic.
 
-    A null text counts as empty; empty texts get the score of the bias alone. Equal texts get equal scores. Texts
+    A kept column named score is replaced. A null text counts as empty; empty texts get the score of the bias alone. Equal texts get equal scores. Texts
     without a known n-gram, and all texts if there were no labelled rows of both kinds, get the bias's as well.
     """
     sent = shipped(docs.sparkSession, weights)
-    rows = docs.select(*keep, whole_text(text).alias("_text"))
+    keep = tuple(c for c in keep if c != "score")
+    rows = docs.select(*keep, whole_text(text).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
 
     def make():
         w, grams = sent.value, Grams()
 
         def step(cols):
-            z = np.array([float(w[grams(t)].sum()) + float(w[-1]) for t in cols.pop("_text")])
+            z = np.array([float(w[grams(t)].sum()) + float(w[-1]) for t in cols.pop("__text")])
             return cols | {"score": sigmoid(z)}
 
         return step
