@@ -9,7 +9,7 @@ from loomwork.tables import written
 
 
 def _star(both: DataFrame, small: bool) -> DataFrame:
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     linked = both.join(least, "u")
     far = linked.filter(F.col("v") < F.col("u")) if small else linked.filter(F.col("v") > F.col("u"))
     out = far.select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b"))
@@ -22,8 +22,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the least node of its component) for all nodes of edges (u, v).
 
     Large-star and small-star steps in turn: each links the neighbours of a node to the least of them. No step
-    gathers a node's neighbours; the least is an aggregate, and Spark can split the join back to the edges. Each
-    round is a table in the shared folder; rounds grow with the logarithm of the longest chain.
+    gathers a node's neighbours; the least is an aggregate, written so that Spark can split the join back to the
+    edges. Each round is a table in the shared folder; rounds grow with the logarithm of the longest chain.
     """
     now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
