@@ -25,7 +25,7 @@ from .repeats import branching, classes, covered, numbered, recurring, with_span
 #: Words in a window and in an anchor.
 WINDOW, ANCHOR = 20, 5
 #: Words that a task remembers at most.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 class Hashes(dict):
