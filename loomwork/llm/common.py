@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.tables import importable, written
+
+__all__ = ["WORD", "importable", "in_arrow", "released", "shipped", "table", "whole_text", "written"]
+
 #: A word, in all operators that count or compare words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,32 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        set_before = spark.sparkContext.getCheckpointDir()
-        if set_before:
-            return set_before
-        named = tempfile.mkdtemp(prefix="loomwork-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(named)
-        return spark.sparkContext.getCheckpointDir()
-    return named
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and every executor can read it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def importable(spark: SparkSession) -> None:
-    """Python workers find this package where the driver has it; ship it with --py-files where they can't."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+def released(spark: SparkSession) -> None:
+    """Let the executors drop the shuffle files of jobs that are done. Spark does so when the driver collects its
+    garbage, which may be half an hour away."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def whole_text(col: str = "text") -> Column:

@@ -11,6 +11,9 @@
    what they connect. So a group of any size has bounded tasks, and no link is left out.
 5. Components of the links are the classes of near duplicates.
 
+Joins that carry texts, sets or signatures are sort-merge joins at every size, so that small inputs are planned as
+large ones are.
+
 At similarity 0.8 a pair shares no band with probability 6e-6 and is pruned with probability under 1e-6.
 """
 
@@ -25,9 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.operators.components import components
+
 from .anchors import CHUNK, Anchors, mixed
 from .common import importable, in_arrow, table, written
-from .components import components
 from .repeats import numbered
 from .substring_dedup import word_units
 
@@ -197,12 +201,13 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
     signed = written(in_arrow(rows, f"row long, id {kind}, c1 long, c2 long, sig binary", sign), "signed")
     classes = signed.groupBy("c1", "c2").agg(F.min(F.struct("id", "row")).alias("lead"), F.count("*").alias("many"))
     classes = written(classes.select("c1", "c2", F.col("lead.row").alias("row"), F.col("lead.id").alias("lead_id"), "many"), "classes")
-    leads = signed.select("row", "sig").join(classes.select("row"), "row", "left_semi").filter("sig IS NOT NULL")
+    leads = signed.select("row", "sig").join(classes.select("row").hint("merge"), "row", "left_semi").filter("sig IS NOT NULL")
 
     size = IN_BAND * 2
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substr("sig", b * size + 1, F.lit(size)))))
     keys = leads.select("row", band.alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("least")).filter("n > 1")
+    shared = written(shared, "shared")
     buckets = written(keys.join(shared, "key"), "buckets")
 
     # large buckets: groups
@@ -219,7 +224,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
     pairs = pairs.filter("ga IS NULL OR gb IS NULL OR ga <> gb").select("a", "b")
     enough = least_agreements(threshold)
     sigs = leads.select("row", "sig")
-    pairs = pairs.join(sigs.select(F.col("row").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("row").alias("b"), F.col("sig").alias("sb")), "b")
+    pairs = pairs.hint("merge").join(sigs.select(F.col("row").alias("a"), F.col("sig").alias("sa")), "a").hint("merge").join(sigs.select(F.col("row").alias("b"), F.col("sig").alias("sb")), "b")
 
     def prune():
         def step(cols):
@@ -241,9 +246,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
 
         return step
 
-    sets = in_arrow(rows.select("row", "text").join(needed, "row", "left_semi"), "row long, shingles binary, sig binary", spread)
+    sets = in_arrow(rows.select("row", "text").join(needed.hint("merge"), "row", "left_semi"), "row long, shingles binary, sig binary", spread)
     many = classes.select("row", "many")
-    sets = written(sets.join(many, "row"), "sets")
+    sets = written(sets.hint("merge").join(many, "row"), "sets")
 
     def verify():
         def step(cols):
@@ -254,14 +259,14 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
         return step
 
     left, right = (sets.select(F.col("row").alias(k), F.col("shingles").alias(f"x{k}"), F.col("many").alias(f"m{k}")) for k in "ab")
-    links = written(in_arrow(likely.join(left, "a").join(right, "b"), "a long, b long, ma long, mb long", verify), "links")
+    links = written(in_arrow(likely.hint("merge").join(left, "a").hint("merge").join(right, "b"), "a long, b long, ma long, mb long", verify), "links")
 
     # blocks of groups, two at a time
     placed = groups.withColumn("own", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = placed.select("row", "grp", "own", other.alias("other"))
     placed = placed.select("row", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("own") == F.col("other")).alias("same"))
-    cells = placed.join(sets, "row").repartition("cell").sortWithinPartitions("cell")
+    cells = placed.hint("merge").join(sets, "row").repartition("cell").sortWithinPartitions("cell")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(cell: list[dict]) -> pa.RecordBatch:
