@@ -310,3 +310,16 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join(docs).drop("row")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1) + 1))) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT p.a, p.b, p.c = x.n AND p.c = y.n AS same FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE p.c >= 0.8 * (x.n + y.n - p.c) - 1e-9),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id),
+k AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id),
+m AS (SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (same) AS copies FROM l GROUP BY a)
+SELECT k.doc_id, k.class_id, coalesce(m.n_links, 0) AS n_links, 1 + coalesce(m.copies, 0) AS copies, k.doc_id = k.class_id AS first FROM k LEFT JOIN m USING (doc_id)
+"""

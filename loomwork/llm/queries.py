@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
-from .jaccard import op8_jaccard_join
+from .jaccard import OP8_SQL, op8_jaccard_join
 from .licenses import op2_license_scan
 from .mixing import OP10_SQL, op10_mixing
 from .quality import op5_quality
 from .quality_rules import op9_quality_rules
-from .substring_dedup import op1_substring_dedup
+from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .suffix_dedup import op3_suffix_array_dedup
 from .toxicity import op4_toxicity
 
@@ -26,4 +26,9 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL = {"op6_exact_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
+ORACLE_SQL = {
+    "op1_substring_dedup": OP1_SQL,
+    "op6_exact_dedup": OP6_SQL,
+    "op8_jaccard_join": OP8_SQL,
+    "op10_mixing": OP10_SQL,
+}

@@ -398,7 +398,7 @@ def test_held_out_accuracy_on_the_tables(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["op6_exact_dedup", "op10_mixing"])
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op6_exact_dedup", "op8_jaccard_join", "op10_mixing"])
 def test_queries_match_sql(spark, name):
     import duckdb
 
