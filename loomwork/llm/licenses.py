@@ -1,9 +1,16 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Each line of a text is a vector of its template terms, weighted by term frequency and by inverse document
-frequency, and compared with each template by cosine; a line's other words count towards its length as one term
-each, at the largest weight. A line that matches a template well enough states that licence; a text's licence is
-its best line's. Document frequencies of the template terms come from all texts.
+Stretches of a text are vectors of their template terms, weighted by term frequency and by inverse document frequency,
+and compared with each template by cosine; a stretch's other words count towards its length as one term each, at the
+largest weight. Stretches are the lines, the sentences in them, the blocks between blank lines (a file's header is its
+first), the whole text, and for each template every window of as many words, over line ends. A text's licence is that
+of its best stretch. Document frequencies of the template terms come from all texts. Templates are the bodies of
+licences (licence_texts), their titles, short statements and SPDX identifiers. A template of few terms needs all of
+them, a body a stretch of at least half its words; wording that licences share decides only where nothing else does.
+
+What cannot reach the cosine is not compared, and this loses nothing: the cosine is at most the square root of the
+template's share, in squared weight, of the terms that a stretch has, and at most the cosine that it would have if all
+its words were distinct.
 
 Files without a statement inherit: a licence file speaks for its directory and all below it. Each file joins the
 licence files on each of its ancestor directories, one equi-join on the path, and takes the deepest.
@@ -12,17 +19,19 @@ licence files on each of its ancestor directories, one equi-join on the path, an
 from __future__ import annotations
 
 import math
+import pkgutil
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, table, whole_text
+from .common import in_arrow, table, whole_text, written
 
-#: Cosine that a statement needs, and template terms that a line needs to be looked at.
-LEAST, TERMS = 0.6, 3
+#: Cosine that a line, sentence, block or text needs, and a window; a template of so few terms needs all of them.
+LEAST, WITHIN, SHORT = 0.6, 0.8, 3
 
 # Usual short statements of licences.
-TEMPLATES = (
+STATEMENTS = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -45,6 +54,37 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 
+# Titles, which count as lines, sentences or blocks but not inside a sentence if they are short.
+TITLES = (
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("ISC", "ISC License"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("Unlicense", "The Unlicense"),
+)
+
+_BODIES = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
+_GNU = ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")
+_PLAIN = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "Unlicense")
+_IDENTIFIERS = tuple((x, x) for x in _PLAIN) + tuple((x, x + end) for x in _GNU for end in ("", "+", "-only", "-or-later"))
+SPDX = tuple((x, f"SPDX-License-Identifier: {y}") for x, y in _IDENTIFIERS)
+BODIES = tuple((x, pkgutil.get_data(__package__, f"licence_texts/{x}.txt").decode()) for x in _BODIES)
+TEMPLATES = STATEMENTS + TITLES + SPDX + tuple((x, f"License: {y}") for x, y in _IDENTIFIERS) + BODIES
+#: Wording of several licences.
+SHARED = ("Redistribution and use", "Permission to use", "All rights reserved")
+
 _EDGES = "\"'.,;:()[]{}!?*/#<>-"
 
 
@@ -77,45 +117,101 @@ def document_counts(docs: DataFrame, text: str = "text") -> tuple[dict[str, int]
 
 class Scanner:
     def __init__(self, counts: dict[str, int], total: int) -> None:
-        self.idf = {t: math.log((1 + total) / (1 + counts.get(t, 0))) + 1 for t in VOCABULARY}
-        self.rare = math.log(1 + total) + 1
-        self.index: dict[str, list[tuple[int, float]]] = {}
+        self.number = {t: i for i, t in enumerate(VOCABULARY)}
+        self.known = set(VOCABULARY)
+        self.others = len(VOCABULARY)
+        idf = np.array([math.log((1 + total) / (1 + counts.get(t, 0))) + 1 for t in VOCABULARY] + [math.log(1 + total) + 1])
+        self.square = idf * idf
+        vectors = np.zeros((len(TEMPLATES), idf.size))
+        self.lengths, self.least_words, self.all_of, self.slides, self.own = [], [], [], [], []
         for k, (_, text) in enumerate(TEMPLATES):
-            vector = self._vector(terms(text))
-            size = math.sqrt(sum(x * x for x in vector.values()))
-            for t, x in vector.items():
-                self.index.setdefault(t, []).append((k, x / size))
-
-    def _vector(self, words: list[str]) -> dict[str, float]:
-        out: dict[str, float] = {}
-        for w in words:
-            if w in self.idf:
-                out[w] = out.get(w, 0.0) + self.idf[w]
-        return out
+            ids = [self.number[t] for t in terms(text)]
+            np.add.at(vectors[k], ids, idf[ids])
+            self.lengths.append(len(ids))
+            self.all_of.append(np.unique(ids) if len(set(ids)) <= SHORT else None)
+            self.slides.append(self.all_of[k] is None or text.startswith(("SPDX", *SHARED)))
+            self.least_words.append(len(ids) // 2 if k >= len(TEMPLATES) - len(BODIES) else 1)
+            self.own.append(not any(text.startswith(x) and (_, text) in STATEMENTS for x in SHARED))
+        vectors /= np.sqrt((vectors * vectors).sum(1, keepdims=True))
+        self.parts = vectors * idf  # what a word adds to the dot product
+        self.shares = np.ascontiguousarray((vectors * vectors)[:, :-1].T)
+        self.needed = np.array([LEAST * LEAST if x is None else 1.0 for x in self.all_of]) - 1e-9
+
+    def _stretches(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Term numbers of the words, their lines, and where lines, sentences, blocks and the text begin and end."""
+        ids, lines, cuts, block = [], [], set(), 0
+        for number, line in enumerate(text.split("\n")):
+            start = sentence = len(ids)
+            for raw in line.split():
+                if w := raw.strip(_EDGES):
+                    ids.append(self.number.get(w, self.others))
+                    lines.append(number)
+                if raw[-1] in ".;!?":
+                    cuts.add((sentence, len(ids)))
+                    sentence = len(ids)
+            cuts |= {(sentence, len(ids)), (start, len(ids))}
+            if start == len(ids):
+                cuts.add((block, start))
+                block = start
+        cuts |= {(block, len(ids)), (0, len(ids))}
+        a, b = np.array(sorted(x for x in cuts if x[0] < x[1]), np.int64).reshape(-1, 2).T
+        return np.array(ids, np.int64), np.array(lines, np.int64), a, b
+
+    def _sizes(self, ids: np.ndarray, length: int) -> np.ndarray:
+        """Squared length of the vector of each window."""
+        square, others, words = self.square.tolist(), self.others, ids.tolist()
+        seen: dict[int, int] = {}
+        out, size = [], 0.0
+        for i, w in enumerate(words):
+            n = 0 if w == others else seen.get(w, 0)
+            seen[w] = n + 1
+            size += square[w] * (2 * n + 1)
+            if i >= length - 1:
+                out.append(size)
+                w = words[i - length + 1]
+                n = 1 if w == others else seen[w]
+                seen[w] -= 1
+                size -= square[w] * (2 * n - 1)
+        return np.array(out)
 
     def best(self, text: str) -> tuple[str | None, float, int]:
-        """Licence, cosine and line number of the best line; ties go to the first line and template."""
-        name, top, at = None, 0.0, -1
-        for number, line in enumerate(text.split("\n")):
-            words = terms(line)
-            vector = self._vector(words)
-            if len(vector) < TERMS:
-                continue
-            other = len(words) - sum(w in self.idf for w in words)
-            size = math.sqrt(sum(x * x for x in vector.values()) + other * self.rare * self.rare)
-            dots = [0.0] * len(TEMPLATES)
-            for t, x in vector.items():
-                for k, y in self.index[t]:
-                    dots[k] += x * y
-            k = max(range(len(dots)), key=dots.__getitem__)
-            if (cosine := round(dots[k] / size, 9)) > top:
-                name, top, at = TEMPLATES[k][0], cosine, number
-        return (name, top, at) if top >= LEAST else (None, top, -1)
+        """Licence, cosine and line number of the best stretch; ties go to the first line and template."""
+        text = text.lower()
+        present = [self.number[t] for t in self.known & {x.strip(_EDGES) for x in text.split()}]
+        likely = np.flatnonzero(self.shares[present].sum(0) >= self.needed) if present else present
+        if not len(likely):
+            return None, 0.0, -1
+        ids, lines, a, b = self._stretches(text)
+        bound = np.append(0.0, np.cumsum(self.square[ids]))
+        top = None
+        for k in likely.tolist():
+            dots = np.append(0.0, np.cumsum(self.parts[k][ids]))
+            found = []
+            dot = dots[b] - dots[a]
+            for i in np.flatnonzero((b - a >= self.least_words[k]) & (dot > 1e-9) & (dot >= (LEAST - 1e-6) * np.sqrt(bound[b] - bound[a]))).tolist():
+                seen, n = np.unique(ids[a[i] : b[i]], return_counts=True)
+                n = np.where(seen == self.others, n, n * n)
+                found.append((dot[i] / math.sqrt(float((n * self.square[seen]).sum())), int(a[i]), int(b[i]), LEAST))
+            length = self.lengths[k]
+            if self.slides[k] and ids.size > length:
+                dot = dots[length:] - dots[:-length]
+                at = np.flatnonzero((dot > 1e-9) & (dot >= (WITHIN - 1e-6) * np.sqrt(bound[length:] - bound[:-length])))
+                # windows that lie near each other together
+                for run in np.split(at, np.flatnonzero(np.diff(at) > length) + 1) if at.size else ():
+                    lo = int(run[0])
+                    cosines = dot[run] / np.sqrt(self._sizes(ids[lo : run[-1] + length], length)[run - lo])
+                    found += [(x, i, i + length, WITHIN) for x, i in zip(cosines.tolist(), run.tolist(), strict=True)]
+            for cosine, lo, hi, least in found:
+                if (cosine := round(float(cosine), 9)) < least or self.all_of[k] is not None and not np.isin(self.all_of[k], ids[lo:hi]).all():
+                    continue
+                order = (not self.own[k], -cosine, int(lines[lo]), k)
+                top = order if top is None else min(top, order)
+        return (TEMPLATES[top[3]][0], -top[1], top[2]) if top else (None, 0.0, -1)
 
 
 def statements(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep``, ``licence`` (null: the text states none), ``cosine`` of its best line and ``line``
-    (its number, -1: none). Null and empty texts state none. All lines of a text are looked at."""
+    """The columns of ``keep``, ``licence`` (null: the text states none), ``cosine`` of its best stretch (0: none) and
+    ``line`` (where that begins, -1: none). Null and empty texts state none. The whole text is looked at."""
     counts, total = document_counts(docs, text)
     keep = tuple(c for c in keep if c not in ("licence", "cosine", "line"))
     rows = docs.select(*keep, whole_text(text).alias("__text"))
@@ -172,4 +268,4 @@ def op2_license_scan(spark, sf_dir: str) -> DataFrame:
     source = F.coalesce("source", F.lit("none"))
     path = F.when(F.col("doc_id") % 1024 == 0, F.concat_ws("/", source, upper, F.lit("LICENSE"))).otherwise(F.concat_ws("/", source, upper, lower, F.when(F.col("doc_id") % 32 < 2, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))))
     found = found.select("doc_id", path.alias("path"), "licence", "cosine", "line").withColumn("licence_file", F.col("path").endswith("/LICENSE"))
-    return inherited(found, "path", "licence_file")
+    return inherited(written(found, "statements"), "path", "licence_file")  # else read, and scanned, three times

@@ -435,3 +435,48 @@ def test_pipeline(spark):
     assert out.columns == [*docs.columns, "tokens"]
     got = out.collect()
     assert {r.doc_id for r in got} <= seen[2] and all(r.tokens for r in got if r.text)
+
+
+MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+@pytest.mark.parametrize("total", [1, 10_000])
+def test_licence_files_headers_and_short_forms(total):
+    scanner = licenses.Scanner({"the": total // 2, "of": total // 2, "license": total // 100}, total)
+    padding = "invented words about " * 60
+    bodies = dict(licenses.BODIES)
+    for text, want in (
+        (f"MIT License\n\nCopyright (c) 2020 Someone Else\n\n{MIT_BODY}", "MIT"),
+        (f"Copyright (c) 2020 Someone Else\n\n{MIT_BODY}", "MIT"),
+        (f"{padding}\n{MIT_BODY}\n{padding}", "MIT"),
+        ("MIT License", "MIT"),
+        ("License: MIT", "MIT"),
+        ("// SPDX-License-Identifier: MIT\nint x;", "MIT"),
+        ("# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+        ("License: Apache-2.0", "Apache-2.0"),
+        ("Apache License\nVersion 2.0, January 2004", "Apache-2.0"),
+        (f"{padding} licensed under the Apache License, Version 2.0 {padding}", "Apache-2.0"),
+        ("/*\n * Copyright 2020 Someone. All rights reserved.\n *\n * Licensed under the Apache License,\n * Version 2.0 (the \"License\"); you may not use this\n * file except in compliance with the License.\n */\nint x;", "Apache-2.0"),
+        (f"Copyright 2020 Someone\n\n{bodies['BSD-2-Clause']}", "BSD-2-Clause"),
+        (f"Copyright 2020 Someone\nAll rights reserved.\n\n{bodies['BSD-3-Clause']}", "BSD-3-Clause"),
+        (bodies["GPL-3.0"], "GPL-3.0"),
+        (bodies["LGPL-3.0"], "LGPL-3.0"),
+        (bodies["MPL-2.0"], "MPL-2.0"),
+        ("SPDX-License-Identifier: LicenseRef-Own", None),
+        # one text alone has no document frequencies to tell common words by
+        *([("the license of the software and all the terms of it", None)] if total > 1 else []),
+        (padding, None),
+        ("", None),
+    ):
+        assert scanner.best(text)[0] == want, text[:80]
