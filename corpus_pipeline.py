@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import bpe, exact_dedup, jaccard, mixing, toxicity
-from loomwork.llm.common import table, written
+from loomwork.llm.common import table, with_row_numbers, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates, the document with the smallest doc_id. Texts without words stay."""
-    firsts = jaccard.jaccard_join(docs).filter("first").select("row")
-    return docs.withColumn("row", F.monotonically_increasing_id()).join(firsts, "row", "left_semi").select(*docs.columns)
+    names = docs.columns
+    docs = with_row_numbers(docs, "__row")
+    firsts = jaccard.jaccard_join(docs, row="__row").filter("first").select(F.col("row").alias("__row"))
+    return docs.join(firsts, "__row", "left_semi").select(*names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

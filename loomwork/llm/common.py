@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.tables import importable, written
+from loomwork.tables import importable, with_row_numbers, written
 
-__all__ = ["WORD", "importable", "in_arrow", "released", "shipped", "table", "whole_text", "written"]
+__all__ = ["WORD", "importable", "in_arrow", "released", "shipped", "table", "whole_text", "with_row_numbers", "written"]
 
 #: A word, in all operators that count or compare words.
 WORD = r"[^\x20\x09-\x0D]+"

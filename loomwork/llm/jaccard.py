@@ -167,8 +167,8 @@ def _block_links(rows: list[dict], table: list[tuple[int, int]], threshold: floa
                 yield left[p]["row"], 0, right[q]["row"]
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, text: str = "text", ident: str = "doc_id", small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """Per row: ``row`` (its number, as repeats.numbered gives it), ident, ``class_id`` (smallest identifier of the
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, text: str = "text", ident: str = "doc_id", small: int = SMALL, block: int = BLOCK, row: str | None = None) -> DataFrame:
+    """Per row: ``row`` (its number, as repeats.numbered gives it; of column ``row`` if named), ident, ``class_id`` (smallest identifier of the
     texts that links connect with this one), ``n_links`` (other documents with similarity of at least
     ``threshold``), ``copies`` (documents with the same shingle set, itself included) and ``first`` (true for one
     row of each class, the one with the smallest identifier; ties go to the earlier row).
@@ -179,7 +179,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
     """
     spark = docs.sparkSession
     importable(spark)
-    rows = numbered(docs, text, ident)
+    rows = numbered(docs, text, ident, row)
     kind = rows.schema["id"].dataType.simpleString()
 
     def sign():

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, table, whole_text, written
+from .common import WORD, table, whole_text, with_row_numbers, written
 
 #: Offsets are multiples of 2^-20, so that sums with whole copies are exact.
 STEPS = 1 << 20
@@ -69,13 +69,11 @@ def word_count(text: str = "text"):
 
 
 def emitted(docs: DataFrame, size, **how) -> DataFrame:
-    """The mix itself: rows of docs, each as many times as it is taken.
-
-    docs must give the same rows in the same partitions each time it is read, as a table does.
-    """
+    """The mix itself: rows of docs, each as many times as it is taken."""
     names = docs.columns
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_doc"))
-    plan = mix(docs.withColumn("__row", F.monotonically_increasing_id()), size, extra=("__row",), **how).filter(F.col("copies") > 0)
+    docs = with_row_numbers(docs, "__row")
+    rows = docs.select(F.col("__row").alias("_row"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_doc"))
+    plan = mix(docs, size, extra=("__row",), **how).filter(F.col("copies") > 0)
     rows = rows.join(plan.select(F.col("__row").alias("_row"), "copies"), "_row")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"_doc.`{c}`").alias(c) for c in names))
 

@@ -14,15 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Anchors
-from .common import in_arrow, whole_text, written
+from .common import in_arrow, whole_text, with_row_numbers, written
 
 PIECE = "m long, s long, row long, id {id}, first int, n int, off int"
 
 
-def numbered(docs: DataFrame, text: str, ident: str) -> DataFrame:
-    """row, id and text. Rows are numbered by partition, so docs must be a table or deal its rows out alike each
-    time it is read."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(ident).alias("id"), whole_text(text).alias("text"))
+def numbered(docs: DataFrame, text: str, ident: str, row: str | None = None) -> DataFrame:
+    """row, id and text. The number is that of the stored column ``row``, or as with_row_numbers gives it, so it is the
+    same each time the rows are read."""
+    if row is None:
+        docs, row = with_row_numbers(docs.select(F.col(ident).alias("id"), whole_text(text).alias("text")), "row"), "row"
+        return docs.select("row", "id", "text")
+    return docs.select(F.col(row).alias("row"), F.col(ident).alias("id"), whole_text(text).alias("text"))
 
 
 def recurring(rows: DataFrame, anchors: Anchors, units: Callable[[], Callable[[str], np.ndarray]], name: str) -> DataFrame:

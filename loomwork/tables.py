@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,6 +32,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _scanned(df: DataFrame) -> bool:
+    """Whether df has the rows of files under one path, each once, and nothing in it changes between reads."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().location().rootPaths().size() == 1
+
+
+def with_row_numbers(df: DataFrame, name: str) -> DataFrame:
+    """df with a number of each row that stays the same however often it is read and however its rows are dealt out
+    then. A row of a Parquet scan is numbered by file and stored place in the file; other rows are written to the
+    shared folder with their numbers, and read from there."""
+    if _scanned(df):
+        try:
+            rows = df.withColumns({"_file": F.col("_metadata.file_path"), name: F.col("_metadata.row_index")})
+        except AnalysisException:  # not Parquet
+            rows = None
+        if rows is not None:
+            files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
+            if len(files) < 2:
+                return rows.drop("_file")
+            places = df.sparkSession.createDataFrame(list(enumerate(files)), "_place long, _file string")
+            rows = rows.join(F.broadcast(places), "_file").withColumn(name, F.shiftleft("_place", 40).bitwiseOR(F.col(name)))
+            return rows.drop("_file", "_place")
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def importable(spark: SparkSession) -> None:
     """Python workers find this package where the driver has it; ship it with --py-files where they can't."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, exact_dedup, jaccard, licenses, mixing, quality, quality_rules, substring_dedup, suffix_dedup, toxicity
+from loomwork.llm import bpe, exact_dedup, jaccard, licenses, mixing, quality, quality_rules, repeats, substring_dedup, suffix_dedup, toxicity
 from loomwork.operators.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -480,3 +480,25 @@ def test_licence_files_headers_and_short_forms(total):
         ("", None),
     ):
         assert scanner.best(text)[0] == want, text[:80]
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_row_numbers_hold_under_other_splits(spark, docs, tmp_path, stored):
+    """Files are split anew between two reads, as they are when executors come or go."""
+    path = str(tmp_path / "t")
+    size = {"spark.sql.files.maxPartitionBytes": "20k", "spark.sql.files.openCostInBytes": "1"}
+    spark.range(20_000).repartition(3).selectExpr("id AS doc_id", "concat('text ', id) AS text").write.option("parquet.block.size", 20_000).parquet(path)
+    table = spark.read.parquet(path) if stored else spark.read.parquet(path).filter("doc_id >= 0")
+    rows = repeats.numbered(table, "text", "doc_id")
+    before = {r.row: r.id for r in rows.collect()}
+    assert len(before) == 20_000
+    kept = {k: spark.conf.get(k) for k in size}
+    try:
+        for k, v in size.items():
+            spark.conf.set(k, v)
+        again = rows.select("*")
+        assert again.rdd.getNumPartitions() > 3
+        assert {r.row: r.id for r in again.collect()} == before
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
