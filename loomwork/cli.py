@@ -13,6 +13,7 @@ from loomwork.operators import agp, breaks, graph, links, liftover, splitting, s
 from loomwork.plans import pipelines
 from loomwork.sources import readers as r
 from loomwork.sources import writers as w
+from loomwork.tables import written
 
 log = logging.getLogger("loomwork")
 
@@ -133,8 +134,11 @@ def scaffoldstats(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def writegml(spark: SparkSession, a: argparse.Namespace) -> None:
     edges = graph.merged(graph.realized(graph.adjacencies(r.read_agp(spark, a.agp))))
+    edges = written(edges.select("u", "v", "weight"), "edges")
+    if a.most and (n := edges.count()) > a.most:
+        raise SystemExit(f"{n} edges, more than {a.most}")
     with open(a.out, "w") as f:
-        f.write(graph.gml([tuple(x) for x in edges.select("u", "v", "weight").limit(a.most).collect()], True))
+        f.writelines(graph.gml_parts(edges, True))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -171,7 +175,7 @@ def parser() -> argparse.ArgumentParser:
     add(updategff, "gff", "agp", to_pieces=False)
     add(rename, "query", prefix="seq")
     add(scaffoldstats, "agp", "confidence", out=False)
-    add(writegml, "agp", most=1_000_000)
+    add(writegml, "agp", most=0)
     return top
 
 

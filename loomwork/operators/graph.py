@@ -5,14 +5,14 @@ A node is an end of a component, ``<name>_b`` or ``<name>_e``. Edges have u < v,
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomwork.tables import importable
+from loomwork.tables import importable, written
 
 from .components import components
 from .matching import max_weight_matching
@@ -258,3 +258,24 @@ def gml(edges: list[tuple[str, str, float]], with_inner: bool = False) -> str:
         lines += [(number[x], number[x[:-2] + "_e"], "inf") for x in nodes if x.endswith("_b") and x[:-2] + "_e" in number]
     out += [f'  edge [\n    source {a}\n    target {b}\n    weight "{w}"\n  ]' for a, b, w in lines]
     return "\n".join([*out, "]"]) + "\n"
+
+
+def gml_parts(edges: DataFrame, with_inner: bool = False) -> Iterator[str]:
+    """A graph of any size (u, v, weight) as GML text in parts; the driver holds a partition at a time."""
+    nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct().orderBy("node")
+    nodes = written(nodes.withColumns({"_pid": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "nodes")
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = nodes.groupBy("_pid").agg(F.count("*").alias("_n")).select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    nodes = nodes.join(F.broadcast(starts), "_pid").select("node", (F.col("_start") + F.col("_at")).alias("id"))
+    left, right = (nodes.select(F.col("node").alias(k), F.col("id").alias(f"{k}_id")) for k in "uv")
+    lines = edges.select("u", "v", "weight").join(left, "u").join(right, "v").orderBy("u", "v", "weight")
+    yield "graph [\n"
+    for x in nodes.orderBy("id").toLocalIterator():
+        yield f'  node [\n    id {x.id}\n    label "{x.node}"\n  ]\n'
+    for x in lines.toLocalIterator():
+        yield f'  edge [\n    source {x.u_id}\n    target {x.v_id}\n    weight "{x.weight}"\n  ]\n'
+    if with_inner:
+        begins = nodes.filter(F.col("node").endswith("_b")).select(F.expr("concat(left(node, length(node) - 2), '_e')").alias("node"), F.col("id").alias("begin"))
+        for x in begins.join(nodes, "node").orderBy("begin").toLocalIterator():
+            yield f'  edge [\n    source {x.begin}\n    target {x.id}\n    weight "inf"\n  ]\n'
+    yield "]\n"

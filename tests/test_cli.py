@@ -1,3 +1,5 @@
+import pytest
+
 from loomwork import cli
 from loomwork.operators.alignments import with_min_mapq
 from loomwork.streaming.alignments import counts_by_query, stream_paf
@@ -35,3 +37,17 @@ def test_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(tuple(r) for r in spark.table("seen").collect()) == [("q0", 1, 50, 40), ("q1", 1, 50, 20)]
+
+
+def test_gml_has_every_edge(spark, tmp_path, monkeypatch):
+    edges = [(f"s{i:04}_e", f"s{i + 1:04}_b", float(i)) for i in range(3000)]
+    table = spark.createDataFrame(edges, "u string, v string, weight double").repartition(5)
+    monkeypatch.setattr(cli.r, "read_agp", lambda *_: None)
+    for name in ("adjacencies", "realized"):
+        monkeypatch.setattr(cli.graph, name, lambda x: x)
+    monkeypatch.setattr(cli.graph, "merged", lambda _: table)
+    cli.main(["writegml", "x.agp", "--out", str(tmp_path / "g.gml")])
+    assert (tmp_path / "g.gml").read_text() == cli.graph.gml(edges, True)
+    with pytest.raises(SystemExit, match="3000 edges"):
+        cli.main(["writegml", "x.agp", "--out", str(tmp_path / "few.gml"), "--most", "2999"])
+    assert not (tmp_path / "few.gml").exists()
