@@ -19,7 +19,7 @@ log = logging.getLogger("loomwork")
 
 
 def _names(spark: SparkSession, path: str | None) -> DataFrame | None:
-    return r.read_names(spark, path) if path else None
+    return r.read_names(spark, path, whole_line=True) if path else None
 
 
 def _filters(a: argparse.Namespace) -> pipelines.Filters:
@@ -42,12 +42,12 @@ def correct(spark: SparkSession, a: argparse.Namespace) -> None:
         raise SystemExit("only intra or inter")
     seqs = r.read_fasta(spark, a.query)
     depth = limits = features = None
-    if a.reads:
-        depth = r.depth_of(r.read_sam(spark, a.reads).filter("NOT is_unmapped")).select("seq", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"), "depth")
-        limits = breaks.thresholds(breaks.median_coverage(depth.groupBy(F.col("depth").alias("cov")).agg(F.count("*").alias("n_bp"))))
+    if a.reads or a.reads_list:
+        depth = written(r.read_depth(spark, r.read_file_names(spark, a.reads_list) if a.reads_list else [a.reads]), "depth")
+        limits = breaks.thresholds(breaks.median_coverage(breaks.histogram(depth)))
     if a.gff:
         features = r.read_gff(spark, a.gff).select(F.col("seqid").alias("seq"), (F.col("start") - 1).alias("start"), "end")
-    layout = pipelines.correct(r.read_paf(spark, a.paf), seqs, _filters(a), a.from_end, (a.only,) if a.only else ("intra", "inter"), depth, limits, a.window, a.clamp, a.spacing, features)
+    layout = pipelines.correct(r.read_paf(spark, a.paf), seqs, _filters(a), a.from_end, (a.only,) if a.only else ("intra", "inter"), depth, limits, a.window, max(1, a.clamp), a.spacing, features)
     w.write_agp(layout, f"{a.out}/layout.agp", mode=a.mode)
     w.write_fasta(splitting.cut_out(r.read_agp(spark, f"{a.out}/layout.agp"), seqs), f"{a.out}/corrected.fasta", mode=a.mode)
 
@@ -63,7 +63,7 @@ def merge(spark: SparkSession, a: argparse.Namespace) -> None:
     for layout, _ in layouts:
         agp.require_valid(layout)
     found = r.read_links(spark, a.links) if a.links else None
-    w.write_agp(pipelines.merge(layouts, seqs, a.shortest, a.least, found, a.gap_size, a.suffix), f"{a.out}/layout.agp", mode=a.mode)
+    w.write_agp(pipelines.merge(layouts, seqs, a.shortest, a.least, found, a.gap_size, a.suffix, r.read_names(spark, a.skip_components) if a.skip_components else None), f"{a.out}/layout.agp", mode=a.mode)
 
 
 def patch(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -161,8 +161,8 @@ def parser() -> argparse.ArgumentParser:
                 p.add_argument(flag, default=value, type=str if value is None else type(value))
 
     add(scaffold, "paf", "query", filters=True, grouping=0.2, location=0.0, orientation=0.0, infer_gaps=False, smallest=100, largest=100_000, suffix="_placed", concatenate=None, skip_queries=None, skip_refs=None)
-    add(correct, "paf", "query", filters=True, from_end=5000, only=None, reads=None, gff=None, window=10_000, clamp=1000, spacing=1000)
-    add(merge, "query", "agp+", weights=None, links=None, shortest=100_000, least=0.0, gap_size="min", suffix="_placed")
+    add(correct, "paf", "query", filters=True, from_end=5000, only=None, reads=None, reads_list=None, gff=None, window=10_000, clamp=1000, spacing=1000)
+    add(merge, "query", "agp+", weights=None, links=None, shortest=100_000, least=0.0, gap_size="min", suffix="_placed", skip_components=None)
     add(patch, "paf", "target", "query", filters=True, length=50_000, distance=0.05, fill_only=False, join_only=False)
     add(createlinks, "query", "reads", share=1.0, enzymes="GATC")
     add(agp2fa, "agp", "query")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,8 +36,9 @@ def line_violations(lines: DataFrame) -> DataFrame:
 
 
 def violations(layout: DataFrame) -> DataFrame:
-    """(obj, line_no, rule) for each rule that a layout row breaks. Rows have line_no, order in the file."""
-    by_line, by_obj = Window.orderBy("line_no"), Window.partitionBy("obj").orderBy("line_no")
+    """(obj, line_no, rule) for each rule that a layout row breaks. Rows have line_no, order in the file. A number that
+    the reader could not read is null, which breaks a rule of its own."""
+    by_obj = Window.partitionBy("obj").orderBy("line_no")
     # an object's lines are contiguous if its line numbers have no hole that another object fills
     ranked = layout.withColumns({"_n": F.row_number().over(by_obj), "_line": F.lag("line_no").over(by_obj), "_pid": F.lag("pid").over(by_obj), "_end": F.lag("obj_end").over(by_obj)})
     gap, seq = F.col("comp_type").isin(*GAP_COMPONENTS), F.col("comp_type").isin(*SEQUENCE_TYPES)
@@ -42,7 +46,12 @@ def violations(layout: DataFrame) -> DataFrame:
     span = F.col("obj_end") - F.col("obj_beg") + 1
     evidence = F.split("linkage_evidence", ";")
     no = F.lit(False)
+
+    def absent(*names: str) -> Column:
+        return reduce(or_, (F.col(c).isNull() for c in names))
+
     checks: list[tuple[Column, str]] = [
+        (absent("obj_beg", "obj_end", "pid") | (seq & absent("comp_beg", "comp_end")) | (gap & absent("gap_len")), "not an integer"),
         (~first & (F.col("line_no") != F.col("_line") + 1), "object not contiguous"),
         (first & ((F.col("obj_beg") != 1) | (F.col("pid") != 1)), "object does not start at 1"),
         (~first & (F.col("pid") != F.col("_pid") + 1), "part numbers not sequential"),
@@ -61,7 +70,6 @@ def violations(layout: DataFrame) -> DataFrame:
         (gap & (F.col("linkage") == "yes") & F.exists(evidence, lambda x: x == "na"), "linkage without evidence"),
     ]
     rules = F.filter(F.array(*(F.when(F.coalesce(c, no), F.lit(text)) for c, text in checks)), lambda x: x.isNotNull())
-    del by_line
     return ranked.select("obj", "line_no", F.explode(rules).alias("rule"))
 
 

@@ -19,6 +19,11 @@ def candidates(alns: DataFrame, from_end: int = 5000, kinds: tuple[str, ...] = (
     return rows.filter(F.col("kind").isin(*kinds)).select("query", "query_len", "pos", "kind")
 
 
+def histogram(depth: DataFrame) -> DataFrame:
+    """How many bases (n_bp) have each depth (cov), from stretches."""
+    return depth.filter("depth > 0").groupBy(F.col("depth").alias("cov")).agg(F.sum(F.col("end") - F.col("start")).alias("n_bp"))
+
+
 def median_coverage(histogram: DataFrame) -> DataFrame:
     """One row, ``median``: place (from 0) of the first bin of (cov, n_bp) at which the running sum reaches half;
     the last, catch-all bin doesn't count. The histogram has one row for each coverage value."""
@@ -35,17 +40,35 @@ def thresholds(median: DataFrame) -> DataFrame:
     return median.withColumns({"low": F.greatest(F.lit(5).cast("long"), F.col("median") - 5 * deviation), "high": 12 * F.col("median")})
 
 
+def filled(depth: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Stretches (seq, start, end, depth) over the whole of each sequence of lengths (seq, query_len): those of depth
+    over 0, and stretches of depth 0 before, between and behind them, or one alone."""
+    order = Window.partitionBy("seq").orderBy("start")
+    rows = depth.filter("depth > 0").join(lengths, "seq").select("seq", "start", "end", F.col("depth").cast("long").alias("depth"), "query_len", F.coalesce(F.lag("end").over(order), F.lit(0)).cast("long").alias("_from"))
+    none = F.lit(0).cast("long").alias("depth")
+    holes = rows.filter("_from < start").select("seq", F.col("_from").alias("start"), F.col("start").alias("end"), none)
+    last = rows.groupBy("seq").agg(F.max("end").alias("_last"))
+    tails = lengths.join(last, "seq", "left").select("seq", F.coalesce("_last", F.lit(0)).alias("start"), F.col("query_len").alias("end"), none).filter("start < end")
+    return rows.select("seq", "start", "end", "depth").unionByName(holes).unionByName(tails)
+
+
 def validated(breaks: DataFrame, depth: DataFrame, limits: DataFrame, window: int = 10_000, from_end: int = 1000) -> DataFrame:
     """Break points that the read depth near them confirms. Within half a window, clamped ``from_end`` from the
     query's ends, the lowest depth must be at most ``low`` or the highest at least ``high``; the break moves to
-    that position, to the lowest if both hold, to the first of several. depth: (seq, pos, depth); limits: one row
-    with low and high."""
-    half = window // 2
-    rows = breaks.select("query", "query_len", "pos", F.greatest(F.col("pos") - half, F.lit(from_end)).alias("lo"), F.least(F.col("pos") + half, F.col("query_len") - from_end).alias("hi")).distinct()
-    width = max(1, window)
-    spots = rows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.greatest("lo", "hi") / width))))
-    seen = depth.select(F.col("seq").alias("d_seq"), F.col("pos").alias("d_pos"), F.col("depth").alias("d"), F.floor(F.col("pos") / width).alias("d_bin"))
-    near = spots.join(seen, (F.col("query") == F.col("d_seq")) & (F.col("_bin") == F.col("d_bin")) & (F.col("d_pos") >= F.col("lo")) & (F.col("d_pos") < F.col("hi")))
+    that position, to the lowest if both hold, to the first of several. depth: stretches (seq, start, end, depth);
+    positions without one have depth 0. Windows that the clamp leaves empty confirm nothing. limits: one row with low
+    and high.
+
+    Stretches and windows meet in bins of a window's width, so a long stretch is many rows of one sequence, and no
+    position is a row of its own."""
+    half, width = window // 2, max(1, window)
+    rows = breaks.select("query", "query_len", "pos", F.greatest(F.col("pos") - half, F.lit(from_end)).alias("lo"), F.least(F.col("pos") + half, F.col("query_len") - from_end).alias("hi")).distinct().filter("lo < hi")
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor((b - 1) / width)))
+    spots = rows.withColumn("_bin", bins(F.col("lo"), F.col("hi")))
+    lengths = breaks.select(F.col("query").alias("seq"), "query_len").distinct()
+    seen = filled(depth, lengths).select(F.col("seq").alias("d_seq"), F.col("start").alias("d_start"), F.col("end").alias("d_end"), F.col("depth").alias("d"), bins(F.col("start"), F.col("end")).alias("d_bin"))
+    near = spots.join(seen, (F.col("query") == F.col("d_seq")) & (F.col("_bin") == F.col("d_bin")) & (F.col("d_end") > F.col("lo")) & (F.col("d_start") < F.col("hi")))
+    near = near.withColumn("d_pos", F.greatest("d_start", "lo"))
     found = near.groupBy("query", "query_len", "pos").agg(F.min(F.struct("d", "d_pos")).alias("least"), F.min(F.struct((-F.col("d")).alias("d"), "d_pos")).alias("most"))
     found = found.crossJoin(F.broadcast(limits.select("low", "high").limit(1)))
     moved = F.when(F.col("least.d") <= F.col("low"), F.col("least.d_pos")).when(-F.col("most.d") >= F.col("high"), F.col("most.d_pos"))

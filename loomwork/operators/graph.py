@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomwork.tables import importable, written
+from loomwork.tables import importable, running, written
 
 from .components import components
 from .matching import max_weight_matching
@@ -96,6 +96,13 @@ def of_long_components(edges: DataFrame, sequences: DataFrame, length: int) -> D
     return edges
 
 
+def without_components(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Edges that touch none of the components (name)."""
+    for node in ("u", "v"):
+        edges = edges.join(names.select("name"), base(F.col(node)) == F.col("name"), "left_anti")
+    return edges
+
+
 def best_buddy(edges: DataFrame) -> DataFrame:
     """Edges with weights divided by that of the best alternative: the heaviest edge at either node, or, if that
     weighs the same as the edge, the heaviest other one at either node; 1 if there is none. Simple edges."""
@@ -197,7 +204,7 @@ def path_layout(paths: DataFrame, merged_edges: DataFrame, sequences: DataFrame,
     """The layout of walked paths, numbered from 1 in order of their roots."""
     rows = paths.join(sequences.select(F.col("name").alias("comp"), F.col("length").cast("long").alias("length")), "comp")
     rows = rows.join(merged_edges.select("u", "v", resolved_gap(F.col("evidence"), how).alias("gap")), ["u", "v"], "left")
-    number = paths.select("root").distinct().withColumn("_k", F.row_number().over(Window.orderBy("root")))
+    number = running(paths.select("root").distinct(), ["root"], "_before").withColumn("_k", F.col("_before") + 1).drop("_before")
     rows = rows.join(number, "root")
     seq = sequence_part(F.col("comp"), F.col("length"), F.col("strand"), 2 * F.col("place"))
     gap = gap_part(F.col("gap.comp_type"), F.col("gap.gap_len"), 2 * F.col("place") + 1, F.col("gap.gap_type"), F.col("gap.linkage"), F.col("gap.linkage_evidence"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwork.tables import running
+
 #: Bases of a gap of unknown size.
 UNKNOWN_GAP = 100
 
@@ -92,8 +94,8 @@ def unplaced_layout(sequences: DataFrame, placed: DataFrame, suffix: str = "_pla
     if concatenate is None:
         seq = sequence_part(F.col("name"), F.col("length"), F.lit("+"), F.lit(0))
         return laid_out(left.select(F.concat("name", F.lit(suffix)).alias("obj"), seq.alias("p")).select("obj", "p.*")).select(*LAYOUT)
-    rows = left.withColumns({"_n": F.row_number().over(Window.orderBy("name")), "_last": F.lead("name").over(Window.orderBy("name")).isNull()})
+    rows = running(left, ["name"], "_n")
     seq = sequence_part(F.col("name"), F.col("length"), F.lit("+"), 2 * F.col("_n"))
-    gap = gap_part(F.lit("U"), F.lit(UNKNOWN_GAP), 2 * F.col("_n") + 1, F.lit("contig"), F.lit("no"), F.lit("na"))
-    both = F.explode(F.when(F.col("_last"), F.array(seq)).otherwise(F.array(seq, gap)))
+    gap = gap_part(F.lit("U"), F.lit(UNKNOWN_GAP), 2 * F.col("_n") - 1, F.lit("contig"), F.lit("no"), F.lit("na"))
+    both = F.explode(F.when(F.col("_n") == 0, F.array(seq)).otherwise(F.array(gap, seq)))
     return laid_out(rows.select(F.lit(concatenate).alias("obj"), both.alias("p")).select("obj", "p.*")).select(*LAYOUT)

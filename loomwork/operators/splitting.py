@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwork.functions.sequences import gap_string, reverse_complement
+from loomwork.tables import running
 
 from .placement import LAYOUT, gap_part, laid_out, sequence_part
 
@@ -14,14 +15,13 @@ from .placement import LAYOUT, gap_part, laid_out, sequence_part
 def runs_of_n(sequences: DataFrame, smallest: int = 0) -> DataFrame:
     """Each sequence (name, seq) as its stretches: name, i, start, end, gap. A run of N longer than ``smallest``
     is a gap; shorter runs belong to the stretch around them."""
-    parts = sequences.select("name", F.posexplode(F.regexp_extract_all("seq", F.lit("([Nn]+|[^Nn]+)"), F.lit(1))).alias("i", "part"))
-    parts = parts.select("name", "i", F.length("part").alias("n"), (F.substr("part", F.lit(1), F.lit(1)).isin("N", "n") & (F.length("part") > smallest)).alias("gap"))
-    order = Window.partitionBy("name").orderBy("i")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    new = F.when(F.col("gap") | F.coalesce(F.lag("gap").over(order), F.lit(True)), 1).otherwise(0)
-    rows = parts.withColumns({"end": F.sum("n").over(upto), "new": new})
-    rows = rows.withColumn("run", F.sum("new").over(upto))
-    return rows.groupBy("name", F.col("run").alias("i")).agg(F.min(F.col("end") - F.col("n")).alias("start"), F.max("end").alias("end"), F.bool_or("gap").alias("gap"))
+    # lengths of the stretches between gaps and of the gaps, in turn; shorter runs never become rows
+    run = f"[Nn]{{{smallest + 1},}}"
+    lengths = lambda c: F.transform(c, lambda x: F.length(x).cast("long"))
+    both = F.arrays_zip(lengths(F.split("seq", run, -1)).alias("part"), lengths(F.regexp_extract_all("seq", F.lit(f"({run})"), F.lit(1))).alias("hole"))
+    parts = sequences.select("name", F.posexplode(F.flatten(F.transform(both, lambda x: F.array(x["part"], x["hole"])))).alias("i", "n")).filter("n > 0")
+    end = F.sum("n").over(Window.partitionBy("name").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    return parts.select("name", "i", (end - F.col("n")).alias("start"), end.alias("end"), (F.col("i") % 2 == 1).alias("gap"))
 
 
 def split_layout(sequences: DataFrame, smallest: int = 0, prefix: str = "seq") -> DataFrame:
@@ -29,7 +29,7 @@ def split_layout(sequences: DataFrame, smallest: int = 0, prefix: str = "seq") -
     numbers of a sequence's pieces go on from a sum over those before."""
     runs = runs_of_n(sequences, smallest)
     counts = runs.groupBy("name").agg(F.sum(F.when(F.col("gap"), 0).otherwise(1)).alias("n"))
-    before = counts.select("name", F.coalesce(F.sum("n").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = running(counts, ["name"], "_before", "n").select("name", "_before")
     own = Window.partitionBy("name").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = runs.withColumn("_k", F.sum(F.when(F.col("gap"), 0).otherwise(1)).over(own)).join(before, "name")
     number = F.lpad((F.col("_before") + F.col("_k") - 1).cast("string"), 8, "0")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomwork.functions import sequences as fs
 from loomwork.operators import agp, alignments, breaks, chaining, components, graph, intervals, liftover, links, patching, placement, scoring, splitting, stats
 from loomwork.plans import adapters as ad
 from loomwork.plans import pipelines
 from loomwork.sources import readers
+from loomwork.tables import running
 
 #: Parameters that keep each operator busy on these tables.
 HOW = pipelines.Filters(anchor=200, keep_small=True, mapq=10, chain=20_000)
@@ -245,18 +247,23 @@ def correct_layout(spark, d):
 def _depth(spark, d):
     li = ad.table(spark, d, "lineitem")
     pos = (F.col("l_orderkey") * 53 + F.col("l_linenumber") * 7) % 12_000
-    return li.groupBy(F.col("l_partkey").cast("string").alias("seq"), pos.alias("pos")).agg(F.max(F.col("l_quantity").cast("long")).alias("depth"))
+    spots = li.groupBy(F.col("l_partkey").cast("string").alias("seq"), pos.alias("start")).agg(F.max(F.col("l_quantity").cast("long")).alias("depth"))
+    ends = F.coalesce(F.lead("start").over(Window.partitionBy("seq").orderBy("start")), F.lit(12_000))
+    # some stretches and some sequences have no reads
+    return spots.select("seq", "start", ends.alias("end"), "depth").filter("depth >= 3 AND seq % 7 <> 0")
 
 
-_DEPTH = "depth AS (SELECT CAST(l_partkey AS VARCHAR) AS seq, (l_orderkey * 53 + l_linenumber * 7) % 12000 AS pos, max(CAST(l_quantity AS BIGINT)) AS depth FROM lineitem GROUP BY ALL)"
-_MEDIAN = f"""{_DEPTH}, h AS (SELECT depth AS cov, count(*) AS n_bp FROM depth GROUP BY depth),
+_DEPTH = """spot AS (SELECT CAST(l_partkey AS VARCHAR) AS seq, (l_orderkey * 53 + l_linenumber * 7) % 12000 AS start, max(CAST(l_quantity AS BIGINT)) AS depth FROM lineitem GROUP BY ALL),
+tile AS (SELECT seq, start, lead(start, 1, 12000) OVER (PARTITION BY seq ORDER BY start) AS "end", CASE WHEN depth >= 3 AND CAST(seq AS BIGINT) % 7 <> 0 THEN depth ELSE 0 END AS depth FROM spot
+  UNION ALL SELECT seq, 0, min(start), 0 FROM spot GROUP BY seq HAVING min(start) > 0)"""
+_MEDIAN = f"""{_DEPTH}, h AS (SELECT depth AS cov, sum("end" - start) AS n_bp FROM tile WHERE depth > 0 GROUP BY depth),
 hh AS (SELECT row_number() OVER (ORDER BY cov) - 1 AS place, n_bp FROM h WHERE cov < (SELECT max(cov) FROM h)),
 med AS (SELECT min(place) AS median FROM (SELECT place, sum(n_bp) OVER (ORDER BY place) AS upto, sum(n_bp) OVER () AS total FROM hh) WHERE 2 * upto >= total),
 lim AS (SELECT median, greatest(5, median - 5 * CAST(round_even(sqrt(median), 0) AS BIGINT)) AS low, 12 * median AS high FROM med)"""
 
 
 def _limits(spark, d):
-    return breaks.thresholds(breaks.median_coverage(_depth(spark, d).groupBy(F.col("depth").alias("cov")).agg(F.count("*").alias("n_bp"))))
+    return breaks.thresholds(breaks.median_coverage(breaks.histogram(_depth(spark, d))))
 
 
 @query(f"WITH {_MEDIAN} SELECT median, low, high FROM lim")
@@ -266,8 +273,8 @@ def coverage_thresholds(spark, d):
 
 @query(f"""{_CHAINED}, {_BREAKS}, {_MEDIAN},
 w AS (SELECT DISTINCT query, query_len, pos, greatest(pos - 1000, 300) AS lo, least(pos + 1000, query_len - 300) AS hi FROM cand),
-j AS (SELECT w.query, w.pos AS candidate, min(d.depth) AS least, arg_min(d.pos, d.depth * 100000 + d.pos) AS at_least, max(d.depth) AS most, arg_min(d.pos, -d.depth * 100000 + d.pos) AS at_most
-  FROM w JOIN depth d ON d.seq = w.query AND d.pos >= w.lo AND d.pos < w.hi GROUP BY ALL)
+n AS (SELECT w.*, d.depth, greatest(d.start, w.lo) AS place FROM w JOIN tile d ON d.seq = w.query AND d."end" > w.lo AND d.start < w.hi),
+j AS (SELECT query, pos AS candidate, min(depth) AS least, arg_min(place, depth * 100000 + place) AS at_least, max(depth) AS most, arg_min(place, -depth * 100000 + place) AS at_most FROM n GROUP BY ALL)
 SELECT query, candidate, CASE WHEN least <= low THEN at_least ELSE at_most END AS pos FROM j, lim WHERE least <= low OR most >= high""")
 def break_validation(spark, d):
     return breaks.validated(_candidates(spark, d), _depth(spark, d), _limits(spark, d), 2000, 300).select("query", "candidate", "pos")
@@ -341,11 +348,11 @@ def layout_counts(spark, d):
 
 
 def _spoiled(spark, d):
-    from pyspark.sql.window import Window
-
-    rows = ad.layout(spark, d).withColumn("line_no", F.row_number().over(Window.orderBy("obj", "pid")))
+    rows = running(ad.layout(spark, d), ["obj", "pid"], "line_no").withColumn("line_no", F.col("line_no") + 1)
     at = lambda n: F.col("line_no") % n == 0
     return rows.withColumns({
+        "obj_beg": F.when(~at(41), F.col("obj_beg")),
+        "comp_end": F.when(~at(43), F.col("comp_end")),
         "obj_end": F.when(at(17), F.col("obj_end") + 1).otherwise(F.col("obj_end")),
         "pid": F.when(at(19), F.col("pid") + 1).otherwise(F.col("pid")),
         "orientation": F.when(at(23), "x").otherwise(F.col("orientation")),
@@ -354,19 +361,20 @@ def _spoiled(spark, d):
         "linkage_evidence": F.when(at(7), "na;guess").otherwise(F.col("linkage_evidence")),
         "comp_type": F.when(at(29), "Q").otherwise(F.col("comp_type")),
         "comp_beg": F.when(at(31), 0).otherwise(F.col("comp_beg")),
-        "gap_len": F.when(at(37), 0).otherwise(F.col("gap_len")),
+        "gap_len": F.when(at(37), 0).when(~at(39), F.col("gap_len")),
     })
 
 
 _SPOILED = f"""{ad.AGP}, n AS (SELECT *, row_number() OVER (ORDER BY obj, pid) AS line_no FROM agp),
-sp AS (SELECT obj, line_no, obj_beg, CASE WHEN line_no % 17 = 0 THEN obj_end + 1 ELSE obj_end END AS obj_end, CASE WHEN line_no % 19 = 0 THEN pid + 1 ELSE pid END AS pid, CASE WHEN line_no % 29 = 0 THEN 'Q' ELSE comp_type END AS comp_type,
-  CASE WHEN line_no % 31 = 0 THEN 0 ELSE comp_beg END AS comp_beg, comp_end, CASE WHEN line_no % 23 = 0 THEN 'x' ELSE orientation END AS orientation, CASE WHEN line_no % 37 = 0 THEN 0 ELSE gap_len END AS gap_len,
+sp AS (SELECT obj, line_no, CASE WHEN line_no % 41 <> 0 THEN obj_beg END AS obj_beg, CASE WHEN line_no % 17 = 0 THEN obj_end + 1 ELSE obj_end END AS obj_end, CASE WHEN line_no % 19 = 0 THEN pid + 1 ELSE pid END AS pid, CASE WHEN line_no % 29 = 0 THEN 'Q' ELSE comp_type END AS comp_type,
+  CASE WHEN line_no % 31 = 0 THEN 0 ELSE comp_beg END AS comp_beg, CASE WHEN line_no % 43 <> 0 THEN comp_end END AS comp_end, CASE WHEN line_no % 23 = 0 THEN 'x' ELSE orientation END AS orientation, CASE WHEN line_no % 37 = 0 THEN 0 WHEN line_no % 39 <> 0 THEN gap_len END AS gap_len,
   CASE WHEN line_no % 3 = 0 THEN 'hole' ELSE gap_type END AS gap_type, CASE WHEN line_no % 5 = 0 THEN 'no' ELSE linkage END AS linkage, CASE WHEN line_no % 7 = 0 THEN 'na;guess' ELSE linkage_evidence END AS linkage_evidence FROM n),
 r AS (SELECT *, lag(line_no) OVER w AS pl, lag(pid) OVER w AS pp, lag(obj_end) OVER w AS pe, comp_type IN ('N', 'U') AS gap, comp_type IN ('A', 'D', 'F', 'G', 'O', 'P', 'W') AS seq, string_split(linkage_evidence, ';') AS ev, obj_end - obj_beg + 1 AS span FROM sp WINDOW w AS (PARTITION BY obj ORDER BY line_no))"""
 
 
 @query(f"""WITH {_SPOILED}
-SELECT obj, line_no, 'object not contiguous' AS rule FROM r WHERE pl IS NOT NULL AND line_no <> pl + 1
+SELECT obj, line_no, 'not an integer' AS rule FROM r WHERE obj_beg IS NULL OR obj_end IS NULL OR pid IS NULL OR seq AND (comp_beg IS NULL OR comp_end IS NULL) OR gap AND gap_len IS NULL
+UNION ALL SELECT obj, line_no, 'object not contiguous' FROM r WHERE pl IS NOT NULL AND line_no <> pl + 1
 UNION ALL SELECT obj, line_no, 'object does not start at 1' FROM r WHERE pl IS NULL AND (obj_beg <> 1 OR pid <> 1)
 UNION ALL SELECT obj, line_no, 'part numbers not sequential' FROM r WHERE pl IS NOT NULL AND pid <> pp + 1
 UNION ALL SELECT obj, line_no, 'object intervals not contiguous' FROM r WHERE pl IS NOT NULL AND obj_beg <> pe + 1
@@ -553,6 +561,39 @@ def merge_layouts(spark, d):
     return pipelines.merge([(ad.layout(spark, d), 1.0), (ad.other_layout(spark, d), 2.0)], ad.component_lengths(spark, d), 0)
 
 
+def _small_graphs(spark, d):
+    """Six ends a group of parts, eight edges: a ring with two chords."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    rows = ad.table(spark, d, "part").select(F.floor(k / 8).alias("g"), (k % 8).alias("i"), ((size * 7 + k) % 23 + 1).cast("double").alias("weight"))
+    end = lambda x: F.concat(F.lit("g"), F.col("g").cast("string"), F.lit("n"), x.cast("string"), F.lit("_b"))
+    a = F.when(F.col("i") < 6, F.col("i")).otherwise(F.col("i") - 6)
+    b = F.when(F.col("i") < 6, (F.col("i") + 1) % 6).otherwise(F.col("i") - 3)
+    return rows.select("g", F.least(end(a), end(b)).alias("u"), F.greatest(end(a), end(b)).alias("v"), "weight")
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey // 8 AS g, p_partkey % 8 AS i, ((p_size * 7 + p_partkey) % 23 + 1)::DOUBLE AS w, CASE WHEN p_partkey % 8 < 6 THEN p_partkey % 8 ELSE p_partkey % 8 - 6 END AS a, CASE WHEN p_partkey % 8 < 6 THEN (p_partkey % 8 + 1) % 6 ELSE p_partkey % 8 - 3 END AS b FROM part),
+m AS (SELECT DISTINCT g, -1 AS last, 0 AS used, 0::DOUBLE AS total FROM e
+  UNION ALL SELECT m.g, e.i, m.used + (1 << e.a) + (1 << e.b), m.total + e.w FROM m JOIN e ON e.g = m.g AND e.i > m.last AND (m.used >> e.a) % 2 = 0 AND (m.used >> e.b) % 2 = 0)
+SELECT g, max(total) AS weight FROM m GROUP BY g""")
+def graph_matching_weight(spark, d):
+    edges = _small_graphs(spark, d)
+    return edges.join(graph.matched(edges.select("u", "v", "weight")), ["u", "v"]).groupBy("g").agg(F.sum("weight").alias("weight"))
+
+
+@query(f"""WITH {ad.ALT},
+c AS (SELECT obj, comp, orientation, comp_end AS length, row_number() OVER w AS k, count(*) OVER (PARTITION BY obj) AS n FROM alt WHERE comp IS NOT NULL WINDOW w AS (PARTITION BY obj ORDER BY pid)),
+h AS (SELECT obj, pid, gap_len, comp_type, linkage_evidence, (SELECT count(*) FROM alt x WHERE x.obj = a.obj AND x.pid < a.pid AND x.comp IS NOT NULL) AS k FROM alt a WHERE comp IS NULL),
+o AS (SELECT obj, any_value(n) AS n, min(comp || '_b') AS root, max(comp || CASE WHEN orientation = '+' THEN '_b' ELSE '_e' END) FILTER (k = 1) > max(comp || CASE WHEN orientation = '+' THEN '_e' ELSE '_b' END) FILTER (k = n) AS rev FROM c GROUP BY obj),
+p AS (SELECT *, 'scf' || lpad(CAST(row_number() OVER (ORDER BY root) AS VARCHAR), 8, '0') || '_placed' AS name FROM o),
+parts AS (SELECT p.name, 2 * CASE WHEN rev THEN p.n + 1 - k ELSE k END AS ord, length, 'W' AS comp_type, comp, CASE WHEN rev = (orientation = '+') THEN '-' ELSE '+' END AS orientation, NULL AS evidence FROM c JOIN p USING (obj)
+  UNION ALL SELECT p.name, 2 * CASE WHEN rev THEN p.n - k ELSE k END + 1, gap_len, comp_type, NULL, NULL, array_to_string(list_sort(string_split(linkage_evidence, ';')), ';') FROM h JOIN p USING (obj))
+SELECT name AS obj, CAST(sum(length) OVER w AS BIGINT) AS obj_end, row_number() OVER w AS pid, comp_type, comp, orientation, evidence AS linkage_evidence FROM parts WINDOW w AS (PARTITION BY name ORDER BY ord)""")
+def merge_same_layout(spark, d):
+    """A layout merged with itself is that layout, objects numbered and turned by their names."""
+    one = ad.other_layout(spark, d)
+    return pipelines.merge([(one, 1.0), (one, 2.0)], ad.component_lengths(spark, d), 0).select("obj", "obj_end", "pid", "comp_type", "comp", "orientation", "linkage_evidence")
+
+
 # Links
 
 _PAIRS = """rp AS (SELECT q_name, is_read1, ref, ref_start + (ref_end - ref_start) // 2 AS pos, lag(is_read1) OVER w AS m, lag(ref) OVER w AS pref, lag(ref_start + (ref_end - ref_start) // 2) OVER w AS ppos FROM reads WINDOW w AS (PARTITION BY q_name ORDER BY rec_no)),
@@ -575,9 +616,32 @@ def link_weights(spark, d):
     return links.normalised(_links(spark, d), links.length_norms(ad.read_refs(spark, d), 0.8))
 
 
+_SITES = "list_filter(range(9101), lambda i: substr(seq, i + 1, 4) = 'GATC' OR substr(seq, i + 1, 6) = 'AAGCTT')"
+
+
+@query(f"""WITH {ad.READS}, {_PAIRS}, rs AS (SELECT DISTINCT user_id % 50 AS i FROM events),
+sq AS (SELECT 'r' || CAST(i AS VARCHAR) AS name, substr(repeat('GATCAAGTACTTAAGCTTCCGGA', 400), CAST(1 + i % 20 AS BIGINT), 9101) AS seq FROM rs), st AS (SELECT name, {_SITES} AS sites FROM sq),
+nm AS (SELECT name || '_b' AS node, len(list_filter(sites, lambda i: i <= 3640)) AS norm FROM st UNION ALL SELECT name || '_e', len(sites) - len(list_filter(sites, lambda i: i <= 5460)) FROM st)
+SELECT u, v, raw, raw::DOUBLE / (a.norm + b.norm)::DOUBLE AS weight FROM lk JOIN nm a ON a.node = u JOIN nm b ON b.node = v""")
+def site_link_weights(spark, d):
+    refs = ad.read_refs(spark, d)
+    seq = F.substr(F.repeat(F.lit("GATCAAGTACTTAAGCTTCCGGA"), 400), 1 + F.substr("name", F.lit(2)).cast("int") % 20, F.lit(9101))
+    sites = refs.withColumn("sites", fs.site_starts(seq, fs.sites_pattern(["HindIII", "gatc"])))
+    return links.normalised(_links(spark, d), links.site_norms(sites, 0.8))
+
+
 # Patching
 
-_BRIDGES = f"""{ad.ALN}, fl AS (SELECT *, query_start <= 3000 AS ql, query_len - query_end <= 3000 AS qr, ref_start <= 60000 AS rl, ref_len - ref_end <= 60000 AS rr FROM aln WHERE mapq >= 50),
+#: The targets of a few queries each, so that some pairs of ends are bridged once and others more often.
+_TARGETS = ad.ALN.replace("aln AS (", "every AS (") + """,
+aln AS (SELECT * REPLACE (ref || 't' || CAST(CAST(query AS BIGINT) // 4 AS VARCHAR) AS ref) FROM every)"""
+
+
+def _targets(spark, d):
+    return ad.alignments(spark, d).withColumn("ref", F.concat("ref", F.lit("t"), F.floor(F.col("query").cast("long") / 4).cast("string")))
+
+
+_BRIDGES = f"""{_TARGETS}, fl AS (SELECT *, query_start <= 3000 AS ql, query_len - query_end <= 3000 AS qr, ref_start <= 60000 AS rl, ref_len - ref_end <= 60000 AS rr FROM aln),
 tu AS (SELECT *, CASE WHEN rl AND rr THEN strand = '-' WHEN ql2 AND qr2 THEN strand = '-' WHEN rl THEN ql2 ELSE qr2 END AS turned FROM (SELECT *, query_start <= 60000 AS ql2, query_len - query_end <= 60000 AS qr2 FROM fl)),
 oi AS (SELECT *, query_end + CASE WHEN turned THEN ref_start ELSE ref_len - ref_end END AS out_at, query_start - CASE WHEN turned THEN ref_len - ref_end ELSE ref_start END AS in_at FROM tu),
 lg AS (SELECT *, lag(ref) OVER w AS pref, lag(ref_len) OVER w AS plen, lag(turned) OVER w AS pturned, lag(out_at) OVER w AS pout FROM oi WINDOW w AS (PARTITION BY query ORDER BY query_start, query_end, ref, ref_start, ref_end, line_no)),
@@ -585,7 +649,7 @@ br AS (SELECT pref || CASE WHEN pturned THEN '_b' ELSE '_e' END AS u, ref || CAS
 
 
 def _bridges(spark, d):
-    return patching.bridges(ad.alignments(spark, d).filter("mapq >= 50"), 60_000)
+    return patching.bridges(_targets(spark, d), 60_000)
 
 
 @query(f"WITH {_BRIDGES} SELECT * FROM br")
@@ -598,7 +662,61 @@ def patch_mirrored(spark, d):
     return patching.mirrored(_bridges(spark, d))
 
 
-@query(f"""WITH {_BRIDGES}, k AS (SELECT *, query || ':' || least(u, v) AS a, greatest(u, v) AS b FROM br) SELECT u, v, query, my_end, their_start FROM (SELECT u, v, query, my_end, their_start, count(*) OVER (PARTITION BY least(u, v), greatest(u, v)) AS n FROM (SELECT query || u AS u, query || v AS v, query, my_end, their_start FROM br)) WHERE n = 1""")
+_ONCE = "once AS (SELECT * FROM br QUALIFY count(*) OVER (PARTITION BY least(u, v), greatest(u, v)) = 1)"
+
+
+@query(f"WITH {_BRIDGES}, {_ONCE} SELECT u, v, query, my_end, their_start FROM once")
 def patch_single_bridges(spark, d):
-    own = _bridges(spark, d).withColumns({"u": F.concat("query", "u"), "v": F.concat("query", "v")})
-    return patching.single_bridges(own).select("u", "v", "query", "my_end", "their_start")
+    return patching.single_bridges(_bridges(spark, d)).select("u", "v", "query", "my_end", "their_start")
+
+
+def _own_gaps(spark, d):
+    """The first two targets of a group are neighbours, and the next two."""
+    group = F.floor(F.col("p_partkey") / 4).cast("string")
+    rows = ad.table(spark, d, "part").select(group.alias("g")).distinct()
+    pair = lambda a, b, gap: F.struct(F.concat(F.lit(f"ref{a}t"), "g", F.lit("_e")).alias("u"), F.concat(F.lit(f"ref{b}t"), "g", F.lit("_b")).alias("v"), F.lit(gap).cast("long").alias("gap_len"))
+    return rows.select(F.explode(F.array(pair(0, 1, 50), pair(2, 3, 70))).alias("x")).select("x.*")
+
+
+_OWN_GAPS = """g AS (SELECT DISTINCT CAST(p_partkey // 4 AS VARCHAR) AS g FROM part),
+known AS (SELECT 'ref0t' || g || '_e' AS u, 'ref1t' || g || '_b' AS v, 50 AS gap_len FROM g UNION ALL SELECT 'ref2t' || g || '_e', 'ref3t' || g || '_b', 70 FROM g),
+ends AS (SELECT u AS node FROM known UNION SELECT v FROM known)"""
+
+
+@query(f"""WITH {_BRIDGES}, {_ONCE}, {_OWN_GAPS},
+pairs AS (SELECT *, least(u, v) AS a, greatest(u, v) AS b FROM once)
+SELECT k.u, k.v, p.u AS from_end, query, my_end, their_start, gap_len FROM known k LEFT JOIN pairs p ON p.a = k.u AND p.b = k.v
+UNION ALL SELECT a, b, u, query, my_end, their_start, NULL FROM pairs WHERE u NOT IN (SELECT node FROM ends) AND v NOT IN (SELECT node FROM ends)""")
+def patch_known_edges(spark, d):
+    rows = patching.with_known(patching.single_bridges(_bridges(spark, d)), _own_gaps(spark, d))
+    return rows.select("u", "v", F.col("bridge.u").alias("from_end"), "bridge.query", "bridge.my_end", "bridge.their_start", "gap_len")
+
+
+_PATCHED = f"""WITH RECURSIVE {_TARGETS}, {_UNIQUE}, good AS (SELECT * FROM uniq WHERE mapq >= 10), {_chain_sql('good')},
+long AS (SELECT * FROM chain WHERE ref_end - ref_start >= 300 AND (ref_start <= 60000 OR ref_len - ref_end <= 60000)),
+fit AS (SELECT * FROM long WHERE query IN (SELECT query FROM long GROUP BY query HAVING count(DISTINCT ref) > 1)),
+{_BRIDGES[_BRIDGES.index('fl AS'):].replace('FROM aln', 'FROM fit')}, {_ONCE}, {_OWN_GAPS},
+names AS (SELECT 'ref' || CAST(i AS VARCHAR) || 't' || g AS comp, g, i FROM g, range(5) r(i)),
+roots AS (SELECT g, i, row_number() OVER (ORDER BY root) - 1 AS k FROM (SELECT g, i, min(comp || '_b') OVER (PARTITION BY g, i // 2) AS root FROM names) WHERE i % 2 = 0),
+ed AS (SELECT k.u, k.v, k.gap_len, o.u = k.u AS along, o.query, o.my_end, o.their_start - o.my_end AS span FROM known k LEFT JOIN once o ON least(o.u, o.v) = k.u AND greatest(o.u, o.v) = k.v),
+parts AS (
+  SELECT 'scf' || lpad(CAST(r.k AS VARCHAR), 8, '0') AS obj, 2 * (n.i % 2) AS ord, n.comp, 1 + CASE WHEN n.i % 2 = 1 THEN coalesce(greatest(-e.span, 0), 0) ELSE 0 END AS comp_beg, 200000 AS comp_end, '+' AS orientation, CAST(NULL AS INT) AS gap_len
+  FROM names n JOIN roots r ON r.g = n.g AND r.i = n.i // 2 * 2 LEFT JOIN ed e ON e.v = n.comp || '_b'
+  UNION ALL SELECT 'scf' || lpad(CAST(r.k AS VARCHAR), 8, '0'), 1, CASE WHEN span > 0 THEN query END, CASE WHEN span > 0 THEN my_end + 1 END, CASE WHEN span > 0 THEN my_end + span END, CASE WHEN span > 0 THEN CASE WHEN along THEN '+' ELSE '-' END END, CASE WHEN span IS NULL THEN e.gap_len END
+  FROM names n JOIN roots r ON r.g = n.g AND r.i = n.i JOIN ed e ON e.u = n.comp || '_e' WHERE span > 0 OR span IS NULL)"""
+
+
+@query(f"""{_PATCHED} SELECT obj, CAST(sum(coalesce(gap_len, comp_end - comp_beg + 1)) OVER w AS BIGINT) AS obj_end, row_number() OVER w AS pid, comp, CAST(comp_beg AS BIGINT) AS comp_beg, CAST(comp_end AS BIGINT) AS comp_end, orientation, CAST(gap_len AS BIGINT) AS gap_len
+FROM parts WINDOW w AS (PARTITION BY obj ORDER BY ord)""")
+def patch_layout(spark, d):
+    """Own gaps are filled only, so each end has one neighbour at most and the best matching is all edges."""
+    group = F.floor(F.col("p_partkey") / 4).cast("string")
+    names = ad.table(spark, d, "part").select(group.alias("g")).distinct().withColumn("i", F.explode(F.array(*map(F.lit, range(5)))))
+    names = names.withColumn("name", F.concat(F.lit("ref"), F.col("i").cast("string"), F.lit("t"), "g"))
+    part = placement.sequence_part(F.col("name"), F.lit(200_000), F.lit("+"), 2 * F.col("i"))
+    gap = placement.gap_part(F.lit("N"), F.when(F.col("i") == 0, 50).otherwise(70), 2 * F.col("i") + 1, F.lit("scaffold"), F.lit("yes"), F.lit("align_genus"))
+    obj = F.concat("g", F.lit("."), F.floor(F.col("i") / 2).cast("string"))
+    laid = placement.laid_out(names.select(obj.alias("obj"), F.explode(F.when((F.col("i") % 2 == 0) & (F.col("i") < 4), F.array(part, gap)).otherwise(F.array(part))).alias("p")).select("obj", "p.*"))
+    lengths = names.select("name", F.lit(200_000).cast("long").alias("length")).unionByName(ad.part_sequences(spark, d))
+    out = pipelines.patch(_targets(spark, d), laid, lengths, HOW, 300, 60_000, fill_only=True)
+    return out.select("obj", "obj_end", "pid", "comp", "comp_beg", "comp_end", "orientation", "gap_len")

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from loomwork.operators import alignments, breaks, chaining, graph, intervals, links, patching, placement, scoring
 from loomwork.operators.agp import scaffolding_stats
+from loomwork.tables import running
 
 
 @dataclass(frozen=True)
@@ -50,8 +51,8 @@ def scaffold(alns: DataFrame, sequences: DataFrame, how: Filters = Filters(), gr
 
 
 def correct(alns: DataFrame, sequences: DataFrame, how: Filters = Filters(), from_end: int = 5000, kinds: tuple[str, ...] = ("intra", "inter"), depth: DataFrame | None = None, limits: DataFrame | None = None, window: int = 10_000, clamp: int = 1000, spacing: int = 1000, features: DataFrame | None = None) -> DataFrame:
-    """The layout that cuts queries at break points; with depth (and its limits) at those that it confirms, and
-    not inside features (seq, start, end)."""
+    """The layout that cuts queries at break points; with depth (stretches; and its limits) at those that it confirms,
+    and not inside features (seq, start, end)."""
     points = breaks.candidates(filtered(alns, how), from_end, kinds)
     if depth is not None:
         if limits is None:
@@ -62,15 +63,17 @@ def correct(alns: DataFrame, sequences: DataFrame, how: Filters = Filters(), fro
     return breaks.pieces_layout(sequences, points.select("query", "pos"))
 
 
-def merge(layouts: list[tuple[DataFrame, float]], sequences: DataFrame, shortest: int = 100_000, least: float = 0.0, read_links: DataFrame | None = None, gap_size: str = "min", suffix: str = "_placed") -> DataFrame:
+def merge(layouts: list[tuple[DataFrame, float]], sequences: DataFrame, shortest: int = 100_000, least: float = 0.0, read_links: DataFrame | None = None, gap_size: str = "min", suffix: str = "_placed", skip: DataFrame | None = None) -> DataFrame:
     """One layout from several (with weights), by a matching of greatest weight. With links (u, v, weight) the
-    edges take their best-buddy weights, and those without links go."""
+    edges take their best-buddy weights, and those without links go. Components of ``skip`` (name) get no edges."""
     if len(layouts) < 2:
         raise ValueError("merging needs two layouts or more")
     edges = None
     for layout, weight in layouts:
         some = graph.realized(graph.adjacencies(layout), weight)
         edges = some if edges is None else edges.unionByName(some)
+    if skip is not None:
+        edges = graph.without_components(edges, skip)
     one = graph.merged(graph.of_long_components(edges, sequences, shortest))
     if read_links is not None:
         one = graph.reweighted(one, graph.best_buddy(graph.merged(links.as_edges(read_links))))
@@ -86,7 +89,10 @@ def patch_edges(alns: DataFrame, targets: DataFrame, how: Filters = Filters(), l
     useful = alignments.useful_for_patching(filtered(alns, how), length, distance)
     edges = patching.single_bridges(patching.bridges(useful, distance))
     known = graph.adjacencies(targets)
-    known = known.select(F.concat("comp_a", F.lit("_e")).alias("u"), F.concat("comp_b", F.lit("_b")).alias("v"), F.col("gap_size").alias("gap_len"))
+    turned = lambda c: F.col(c) == "-"
+    end_of_a = F.concat("comp_a", F.when(turned("strand_a"), "_b").otherwise("_e"))
+    start_of_b = F.concat("comp_b", F.when(turned("strand_b"), "_e").otherwise("_b"))
+    known = known.select(end_of_a.alias("u"), start_of_b.alias("v"), F.col("gap_size").alias("gap_len"))
     return patching.with_known(edges, known, fill_only, join_only)
 
 
@@ -108,7 +114,7 @@ def patch(alns: DataFrame, targets: DataFrame, sequences: DataFrame, how: Filter
     filled = placement.sequence_part(F.col("bridge.query"), F.col("_span"), F.when(along, "+").otherwise("-"), 2 * F.col("place") + 1, F.col("bridge.my_end") + 1)
     gap = placement.gap_part(F.lit("N"), F.col("gap_len"), 2 * F.col("place") + 1, F.lit("scaffold"), F.lit("yes"), F.lit("align_genus"))
     both = F.when(F.col("_span") > 0, F.array(seq, filled)).when(F.col("_span").isNull() & (F.col("gap_len") > 0), F.array(seq, gap)).otherwise(F.array(seq))
-    number = paths.select("root").distinct().withColumn("_k", F.row_number().over(Window.orderBy("root")) - 1)
+    number = running(paths.select("root").distinct(), ["root"], "_k")
     rows = rows.join(number, "root")
     obj = F.concat(F.lit(prefix), F.lpad(F.col("_k").cast("string"), 8, "0"))
     return placement.laid_out(rows.select(obj.alias("obj"), F.explode(both).alias("p")).select("obj", "p.*")).select(*placement.LAYOUT)

@@ -126,8 +126,15 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*((f[i].cast("long") if n in ("start", "end") else f[i]).alias(n) for i, n in enumerate(names)), "line_no")
 
 
-def read_names(spark: SparkSession, path: str) -> DataFrame:
-    """One name a line, to the first white space."""
+def read_file_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of read files that a file lists, one a line; a short list for the driver."""
+    return [r.value.rstrip() for r in spark.read.text(path).collect() if r.value.strip()]
+
+
+def read_names(spark: SparkSession, path: str, whole_line: bool = False) -> DataFrame:
+    """One name a line, to the first white space, or the whole line but for white space at its end."""
+    if whole_line:
+        return spark.read.text(path).select(F.rtrim("value").alias("name")).filter("name <> ''")
     return spark.read.text(path).select(F.split(F.trim("value"), r"\s+")[0].alias("name")).filter("name <> ''")
 
 
@@ -163,16 +170,15 @@ def read_coverage_histogram(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter("startswith(value, 'COV')").select(f[2].cast("long").alias("cov"), f[3].cast("long").alias("n_bp"))
 
 
-def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Name-sorted SAM text: the read columns. The reference end is from the CIGAR. A header that says another
-    sort order is an error."""
+def read_sam(spark: SparkSession, path: str, any_order: bool = False) -> DataFrame:
+    """Name-sorted SAM text: the read columns. The reference end is from the CIGAR. A file whose header doesn't say
+    that it is sorted by name is an error, unless any_order."""
     lines = _lines(spark, path)
     f = F.split("line", "\t")
     flag = f[1].cast("int")
     ops = F.regexp_extract_all(f[5], F.lit(r"(\d+)[MDN=X]"), F.lit(1))
     span = F.aggregate(ops, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-    order = lines.filter("startswith(line, '@HD') AND NOT contains(line, 'SO:queryname')").head(1)
-    if order:
+    if not any_order and not lines.filter(r"line RLIKE '^@HD\t(.*\t)?SO:queryname(\t|$)'").head(1):
         raise ValueError("the alignments must be sorted by read name")
     has = lambda bit: flag.bitwiseAND(F.lit(bit)) != 0
     return lines.filter("NOT startswith(line, '@')").select(
@@ -198,6 +204,14 @@ def read_lengths(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"unknown kind of file: {path}")
 
 
+def read_depth(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Depth of the mapped reads of SAM files as stretches, in positions that count from 1 as depth files do."""
+    reads = read_sam(spark, paths[0], True)
+    for path in paths[1:]:
+        reads = reads.unionByName(read_sam(spark, path, True))
+    return depth_of(reads.filter("NOT is_unmapped")).withColumns({"start": F.col("start") + 1, "end": F.col("end") + 1})
+
+
 def depth_of(alns: DataFrame, name: str = "ref", start: str = "ref_start", end: str = "ref_end") -> DataFrame:
     """Read depth of a table of intervals as stretches: seq, start, end, depth. A sweep over interval ends."""
     from pyspark.sql.window import Window
@@ -207,4 +221,3 @@ def depth_of(alns: DataFrame, name: str = "ref", start: str = "ref_start", end:
     order = Window.partitionBy("seq").orderBy("start")
     rows = steps.select("seq", "start", F.lead("start").over(order).alias("end"), F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
     return rows.filter("end IS NOT NULL AND depth > 0")
-

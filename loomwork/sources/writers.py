@@ -40,13 +40,25 @@ def write_paf(alns: DataFrame, path: str, mode: str = "error") -> None:
     _write(alns.withColumn("value", _tabbed(*COLUMNS[:12])), ["query", "line_no"], path, mode)
 
 
+def write_sizes(sequences: DataFrame, path: str, mode: str = "error") -> None:
+    """Names and lengths, as index files have them."""
+    _write(sequences.withColumn("value", _tabbed("name", "length")), ["name"], path, mode)
+
+
+def write_gff(rows: DataFrame, path: str, mode: str = "error") -> None:
+    """Annotation in the order of its lines."""
+    _write(rows.withColumn("value", _tabbed("seqid", "source", "feature", "start", "end", "score", "strand", "phase", "attributes")), ["line_no"], path, mode)
+
+
 def write_table(df: DataFrame, path: str, header: bool = True, mode: str = "error") -> None:
     """Confidences, query summaries and links as tab-separated text."""
     df.write.mode(mode).option("sep", "\t").option("header", header).csv(path)
 
 
 def write_delta(alns: DataFrame, path: str, files: tuple[str, str] = ("file1", "file2"), mode: str = "error") -> None:
-    """Delta text from alignments with cg and NM tags, by reference and query."""
+    """Delta text from alignments, by reference and query. One without a cg or NM tag is an error."""
+    tagged = F.col("tags")["NM"].isNotNull() & F.col("tags")["cg"].isNotNull()
+    alns = alns.withColumn("ref", F.when(tagged, F.col("ref")).otherwise(F.raise_error(F.concat(F.lit("no cg or NM tag in an alignment of "), "query"))))
     forward = F.col("strand") == "+"
     place = _spaced(F.col("ref_start") + 1, F.col("ref_end"), F.when(forward, F.col("query_start") + 1).otherwise(F.col("query_end")), F.when(forward, F.col("query_end")).otherwise(F.col("query_start") + 1), F.col("tags")["NM"], F.col("tags")["NM"], F.lit(0))
     offsets = F.concat(F.transform(offsets_from_cigar(F.col("tags")["cg"]), lambda d: d.cast("string")), F.array(F.lit("0")))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,9 +17,12 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir. Only a session on one machine (master local) may name none: it gets a
+    temporary one. On a cluster such a folder wouldn't be shared, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="loomwork-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(own)
@@ -25,13 +30,33 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and every executor can read it."""
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage, and every executor can read it. release: the
+    shuffle files of the step may go, see released."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if release:
+        released(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discarded(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more: all that came from them is written as well."""
+    for table in tables:
+        spark = table.sparkSession
+        paths = table._jdf.queryExecution().analyzed().relation().location().rootPaths()
+        for i in range(paths.size()):
+            path = paths.apply(i)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Let the executors drop the shuffle files of jobs that are done. Spark does so when the driver collects its
+    garbage, which may be half an hour away."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _scanned(df: DataFrame) -> bool:
     """Whether df has the rows of files under one path, each once, and nothing in it changes between reads."""
     plan = df._jdf.queryExecution().analyzed()
@@ -69,6 +94,18 @@ def importable(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
 
 
+def running(df: DataFrame, order: list[str], name: str, value: str | None = None) -> DataFrame:
+    """df with ``name``: the sum of ``value`` over the rows before in the order, or how many they are. The rows are
+    dealt out by ranges of the order; a partition goes on from the sums of those before it, so no task has all rows."""
+    rows = df.withColumn("_v", F.lit(1).cast("long") if value is None else F.col(value).cast("long"))
+    rows = written(rows.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = rows.groupBy("_pid").agg(F.sum("_v").alias("_s")).select("_pid", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(F.broadcast(starts), "_pid").withColumn(name, F.col("_start") + F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    return rows.drop("_pid", "_start", "_v")
+
+
 def with_line_numbers(lines: DataFrame, name: str = "line_no") -> DataFrame:
     """Rows of a file scan with their number from 1. The rows of each partition are counted, and a partition's
     numbers go on from those before: no shuffle of the rows and no single task over them."""

@@ -6,6 +6,7 @@ import pytest
 from loomwork.functions import sequences as fs
 from loomwork.operators import agp, breaks, intervals, liftover, splitting
 from loomwork.sources import readers, writers
+from loomwork.tables import running
 from pyspark.sql import functions as F
 
 
@@ -118,3 +119,78 @@ def test_depth_and_sites(spark):
         fs.sites_pattern(["nothing!"])
     got = spark.createDataFrame([("GATCAAGATCGACTC",)], "s string").select(fs.site_starts(F.col("s"), fs.sites_pattern(["HinfI", "MboI"])).alias("x")).first().x
     assert got == [0, 6, 10]
+
+
+def test_agp_numbers_must_be_integers(spark, tmp_path):
+    (tmp_path / "a.agp").write_text("o\tX\t10\t1\tW\tc\t1\t10\t+\no\t11\tZ\t2\tW\td\t1\t5\t-\no\t16\t25\t3\tN\t1.5\tscaffold\tyes\tmap\no\t26\t30\t4\tW\te\t1\t5x\t+\n")
+    rules = {(r.line_no, r.rule) for r in agp.violations(readers.read_agp(spark, str(tmp_path / "a.agp"))).collect()}
+    assert {(n, "not an integer") for n in (1, 2, 3, 4)} <= rules
+
+
+@pytest.mark.parametrize("head", ["", "@HD\tVN:1.6\n", "@HD\tVN:1.6\tSO:coordinate\n", "@SQ\tSN:r\tSO:queryname\n"])
+def test_reads_must_be_sorted_by_name(spark, tmp_path, head):
+    line = "a\t64\tr\t11\t60\t5M2D3M\t*\t0\t0\t*\t*\n"
+    (tmp_path / "a.sam").write_text(head + line)
+    with pytest.raises(ValueError, match="sorted by read name"):
+        readers.read_sam(spark, str(tmp_path / "a.sam"))
+    assert [(r.ref_start, r.ref_end) for r in readers.read_sam(spark, str(tmp_path / "a.sam"), any_order=True).collect()] == [(10, 20)]
+    (tmp_path / "b.sam").write_text("@HD\tVN:1.6\tSO:queryname\n" + line)
+    assert readers.read_sam(spark, str(tmp_path / "b.sam")).count() == 1
+    (tmp_path / "list").write_text(f"{tmp_path}/a.sam\n{tmp_path}/b.sam\n")
+    names = readers.read_file_names(spark, str(tmp_path / "list"))
+    assert [tuple(r) for r in readers.read_depth(spark, names).collect()] == [("r", 11, 21, 2)]
+
+
+@pytest.mark.parametrize("tags", ["NM:i:5", "cg:Z:50M"])
+def test_delta_needs_both_tags(spark, tmp_path, tags):
+    (tmp_path / "a.paf").write_text(f"q1\t100\t0\t50\t+\tr1\t500\t10\t60\t45\t50\t60\t{tags}\n")
+    with pytest.raises(Exception, match="no cg or NM tag"):
+        writers.write_delta(readers.read_paf(spark, str(tmp_path / "a.paf")), str(tmp_path / "out"))
+
+
+def test_breaks_without_reads_are_low_coverage(spark):
+    """A window that no read touches is dry from its first base on; one that reads leave is dry from there."""
+    points = spark.createDataFrame([("q", 20_000, 5000, "intra"), ("q", 20_000, 10_000, "intra"), ("q", 20_000, 17_900, "intra"), ("none", 20_000, 9000, "inter"), ("tiny", 1500, 700, "inter")], "query string, query_len long, pos long, kind string")
+    depth = spark.createDataFrame([("q", 0, 4000, 20), ("q", 16_000, 18_000, 20), ("q", 18_000, 18_050, 900), ("q", 18_050, 20_000, 20)], "seq string, start long, end long, depth long")
+    limits = spark.createDataFrame([(20, 5, 240)], "median long, low long, high long")
+    got = {(r.query, r.candidate): r.pos for r in breaks.validated(points, depth, limits, 4000, 1000).collect()}
+    assert got == {("q", 5000): 4000, ("q", 10_000): 8000, ("q", 17_900): 15_900, ("none", 9000): 7000}
+    assert {r.cov: r.n_bp for r in breaks.histogram(depth).collect()} == {20: 7950, 900: 50}
+
+
+def test_depth_windows_match_brute_force(spark):
+    rnd = random.Random(12)
+    stretches, points = [], []
+    for seq in "abc":
+        at = rnd.randrange(30)
+        while at < 380:
+            end = min(400, at + rnd.randint(1, 60))
+            stretches.append((seq, at, end, rnd.randint(0, 9)))
+            at = end + rnd.choice([0, 0, rnd.randrange(20)])
+    for seq in "abcd":
+        points += [(seq, 400, rnd.randrange(400), "intra") for _ in range(25)]
+    limits, window, clamp = (0, 9), 50, 20
+    want = {}
+    for seq, size, pos, _ in points:
+        base = [0] * size
+        for s, a, b, n in stretches:
+            if s == seq:
+                base[a:b] = [n] * (b - a)
+        lo, hi = max(pos - window // 2, clamp), min(pos + window // 2, size - clamp)
+        part = base[lo:hi]
+        if part and min(part) <= limits[0]:
+            want[seq, pos] = lo + part.index(min(part))
+        elif part and max(part) >= limits[1]:
+            want[seq, pos] = lo + part.index(max(part))
+    got = breaks.validated(spark.createDataFrame(points, "query string, query_len long, pos long, kind string"), spark.createDataFrame(stretches, "seq string, start long, end long, depth long"), spark.createDataFrame([limits], "low long, high long"), window, clamp)
+    assert {(r.query, r.candidate): r.pos for r in got.collect()} == want
+    assert len(want) > 20
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(f"k{i % 40:02}", i, i % 5) for i in random.Random(5).sample(range(300), 300)]
+    df = running(spark.createDataFrame(rows, "a string, b long, v long").repartition(7), ["a", "b"], "before", "v")
+    total = 0
+    for r in sorted(df.collect(), key=lambda r: (r.a, r.b)):
+        assert r.before == total
+        total += r.v
