@@ -1,8 +1,9 @@
-"""What substring dedup by words and by bytes share: pieces that occur again, and what they leave of the texts.
+"""What substring dedup by words and by bytes share: pieces that occur again, the spans that they make, the check of
+the spans against their sources, and what is left of the texts.
 
-The stages keep hot keys apart. Counts of anchors and of equal pieces are combined before the shuffle; joins back
-to the occurrences are plain equi-joins, whose large partitions Spark splits. What is collected for a document is
-bounded by its own length.
+The stages keep hot keys apart. Counts of anchors and of equal pieces are combined before the shuffle and written, so
+that the joins back to the occurrences are between plain tables, whose large partitions Spark splits. What is collected
+for a document is bounded by its own length, what is asked of a source by ASKED.
 """
 
 from __future__ import annotations
@@ -14,18 +15,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Anchors
-from .common import in_arrow, whole_text, with_row_numbers, written
+from .common import discarded, in_arrow, whole_text, with_row_numbers, written
 
 PIECE = "m long, s long, row long, id {id}, first int, n int, off int"
+#: Spans that one row of a source answers about.
+ASKED = 500
 
 
 def numbered(docs: DataFrame, text: str, ident: str, row: str | None = None) -> DataFrame:
     """row, id and text. The number is that of the stored column ``row``, or as with_row_numbers gives it, so it is the
     same each time the rows are read."""
     if row is None:
-        docs, row = with_row_numbers(docs.select(F.col(ident).alias("id"), whole_text(text).alias("text")), "row"), "row"
+        docs, row = with_row_numbers(docs.select(F.col(f"`{ident}`").alias("id"), whole_text(f"`{text}`").alias("text")), "row"), "row"
         return docs.select("row", "id", "text")
-    return docs.select(F.col(row).alias("row"), F.col(ident).alias("id"), whole_text(text).alias("text"))
+    return docs.select(F.col(f"`{row}`").alias("row"), F.col(f"`{ident}`").alias("id"), whole_text(f"`{text}`").alias("text"))
+
+
+def repeated(values: list, lens: np.ndarray):
+    """Each value as often as lens says: an array if they are whole numbers, else a list."""
+    if all(type(v) is int for v in values):
+        return np.repeat(np.array(values, np.int64), lens)
+    return [values[i] for i in np.repeat(np.arange(len(lens)), lens).tolist()]
 
 
 def recurring(rows: DataFrame, anchors: Anchors, units: Callable[[], Callable[[str], np.ndarray]], name: str) -> DataFrame:
@@ -41,38 +51,104 @@ def recurring(rows: DataFrame, anchors: Anchors, units: Callable[[], Callable[[s
                 found.append(anchors.pieces(split(text)))
                 lens.append(found[-1][0].size)
             m, s, first, n, off = (np.concatenate(x) for x in zip(*found, strict=True))
-            which = np.repeat(np.arange(len(lens)), lens).tolist()
-            ids, row = cols["id"], np.repeat(np.array(cols["row"], np.int64), lens)
-            return {"m": m, "s": s, "row": row, "id": [ids[i] for i in which], "first": first.astype(np.int32), "n": n.astype(np.int32), "off": off.astype(np.int32)}
+            return {"m": m, "s": s, "row": repeated(cols["row"], lens), "id": repeated(cols["id"], lens), "first": first.astype(np.int32), "n": n.astype(np.int32), "off": off.astype(np.int32)}
 
         return step
 
-    pieces = in_arrow(rows, PIECE.format(id=kind), make)
-    again = pieces.groupBy("m").agg(F.count("*").alias("_n")).filter("_n > 1").select("m")
-    return written(pieces.join(again, "m", "left_semi"), name)
+    pieces = written(in_arrow(rows, PIECE.format(id=kind), make), f"{name}-pieces")
+    again = written(pieces.groupBy("m").agg(F.count("*").alias("_n")).filter("_n > 1").select("m"), f"{name}-again", release=True)
+    found = written(pieces.join(again, "m", "left_semi"), f"{name}-recurring", release=True)
+    discarded(pieces, again)
+    return found
 
 
-def classes(pieces: DataFrame) -> DataFrame:
-    """One row for each set of equal pieces: m, s, how many there are, and the earliest."""
+def classes(pieces: DataFrame, name: str) -> DataFrame:
+    """One row for each set of equal pieces: m, s, how many there are, and the earliest. A written table."""
     earliest = F.min(F.struct("id", "row", "first", "n", "off")).alias("lead")
-    return pieces.groupBy("m", "s").agg(F.count("*").alias("many"), earliest)
+    return written(pieces.groupBy("m", "s").agg(F.count("*").alias("many"), earliest), f"{name}-sets", release=True)
+
+
+def branching(sets: DataFrame, name: str) -> DataFrame:
+    """The anchors with unequal pieces, and how many. A written table."""
+    return written(sets.groupBy("m").agg(F.count("*").alias("sets")).filter("sets > 1"), f"{name}-branching", release=True)
+
+
+def long_spans(spans: DataFrame, name: str) -> DataFrame:
+    """row, first, n, src, at: spans (row, first, n, src, src_first) with neighbours joined that go on in the same
+    source. Spans that are their own source, or have none, get a null src. A written table."""
+
+    def make():
+        def step(cols):
+            out = {"row": [], "first": [], "n": [], "src": [], "at": []}
+            for row, found in zip(cols["row"], cols["spans"], strict=True):
+                runs: list[list] = []
+                keyed = []
+                for x in found:
+                    own = x["src"] is None or (x["src"] == row and x["src_first"] == x["first"])
+                    keyed.append((-1, 0, x["first"], x["n"]) if own else (x["src"], x["src_first"] - x["first"], x["first"], x["n"]))
+                for src, shift, first, n in sorted(keyed):
+                    if runs and runs[-1][0] == src and runs[-1][1] == shift and first <= runs[-1][3]:
+                        runs[-1][3] = max(runs[-1][3], first + n)
+                    else:
+                        runs.append([src, shift, first, first + n])
+                for src, shift, first, end in runs:
+                    out["row"].append(row)
+                    out["first"].append(first)
+                    out["n"].append(end - first)
+                    out["src"].append(None if src < 0 else src)
+                    out["at"].append(None if src < 0 else first + shift)
+            return out
+
+        return step
+
+    each = spans.groupBy("row").agg(F.collect_list(F.struct("first", "n", "src", "src_first")).alias("spans"))
+    return written(in_arrow(each, "row long, first int, n int, src long, at int", make), f"{name}-spans", release=True)
+
+
+def sourced(rows: DataFrame, spans: DataFrame, cut: Callable[[], Callable[[str], Callable[[int, int], bytes]]], name: str) -> DataFrame:
+    """spans (long_spans) with ``source``: what the source has at the span's coordinates; null where there is no
+    source. cut() gives what makes of a text a function of first window and number of windows.
+
+    A source that many spans have is dealt out: each of its rows here answers about ASKED of them."""
+    asked = spans.filter("src IS NOT NULL")
+    many = written(asked.groupBy("src").agg(F.count("*").alias("_n")), f"{name}-asked")
+    asked = asked.join(many, "src").withColumn("_k", F.pmod(F.xxhash64("row", "first"), F.ceil(F.col("_n") / ASKED)))
+    asked = written(asked.groupBy("src", "_k").agg(F.collect_list(F.struct("row", "first", "n", "at")).alias("asked")), f"{name}-asks", release=True)
 
+    def make():
+        reader = cut()
+
+        def step(cols):
+            out = {"row": [], "first": [], "n": [], "source": []}
+            for text, found in zip(cols["text"], cols["asked"], strict=True):
+                read = reader(text)
+                for x in found:
+                    for k in ("row", "first", "n"):
+                        out[k].append(x[k])
+                    out["source"].append(read(x["at"], x["n"]))
+            return out
+
+        return step
 
-def branching(sets: DataFrame) -> DataFrame:
-    """The anchors with unequal pieces, and how many."""
-    return sets.groupBy("m").agg(F.count("*").alias("sets")).filter("sets > 1")
+    texts = asked.join(rows.select(F.col("row").alias("src"), "text"), "src").select("asked", "text")
+    answers = in_arrow(texts, "row long, first int, n int, source binary", make)
+    return answers.unionByName(spans.filter("src IS NULL").select("row", "first", "n", F.lit(None).cast("binary").alias("source")))
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """rows with ``spans``, an array of (first, n) runs of windows that go; null if there are none."""
-    each = spans.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    """rows with ``spans``, an array of (first, n, source) runs of windows that go; null if there are none."""
+    each = spans.groupBy("row").agg(F.collect_list(F.struct("first", "n", "source")).alias("spans"))
     return rows.join(each, "row", "left")
 
 
-def covered(size: int, window: int, spans: list[dict] | None) -> np.ndarray:
-    """Which of ``size`` units are in the windows of the spans."""
+def covered(size: int, window: int, spans: list[dict] | None, have: Callable[[int, int], bytes]) -> np.ndarray:
+    """Which of ``size`` units are in the windows of the spans. ``have`` reads the text itself (first window, windows):
+    a span that doesn't equal its source is an error, as then the hashes of unequal windows agree."""
     if not spans:
         return np.zeros(size, bool)
+    for x in spans:
+        if x["source"] is not None and have(x["first"], x["n"]) != x["source"]:
+            raise ValueError("a span differs from its source: two unequal windows have the same 128 bits of hash")
     first = np.array([x["first"] for x in spans])
     edge = np.zeros(size + 1, np.int64)
     np.add.at(edge, first, 1)

@@ -5,8 +5,11 @@ edges that share an anchor are kept as one path piece from the start (anchors.py
 compact the graph: an anchor that has equal pieces only wherever it occurs lies on a nonbranching path, so each of
 its pieces but the earliest is a repeated span as a whole. Where an anchor has unequal pieces the path branches
 or ends; the earliest piece of each kind is opened into its edges, and a join on the edges finds those that an
-earlier piece has as well. Every repeated span carries the coordinates of its source, the earliest occurrence;
-hashes of 128 bits (anchor and piece, or anchor and edge) stand for the words in these joins.
+earlier piece has as well.
+
+Every repeated span carries the coordinates of its source, the earliest occurrence. Spans that go on in the same
+source are joined to long ones, the words at the source's coordinates are fetched by a join, and each span is compared
+with them word for word before it goes. Hashes of 128 bits only propose spans.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import CHUNK, Anchors
-from .common import in_arrow, table
-from .repeats import branching, classes, covered, numbered, recurring, with_spans
+from .common import discarded, in_arrow, table, written
+from .repeats import branching, classes, covered, long_spans, numbered, recurring, repeated, sourced, with_spans
 
 #: Words in a window and in an anchor.
 WINDOW, ANCHOR = 20, 5
@@ -41,6 +44,16 @@ def word_units():
     return lambda text: np.fromiter(map(hashes.__getitem__, text.encode("utf-8", "surrogatepass").split()), np.uint64)
 
 
+def words_at(window: int):
+    """For repeats.sourced: the words of a run of windows, joined by a space."""
+
+    def read(text: str):
+        words = text.encode("utf-8", "surrogatepass").split()
+        return lambda first, n: b" ".join(words[first : first + n + window - 1])
+
+    return lambda: read
+
+
 def edges_of(rows: DataFrame, opened: DataFrame, anchors: Anchors, units) -> DataFrame:
     """The windows of the opened pieces (m, row, id, first, n): m, hash, row, id, first."""
     kind = rows.schema["id"].dataType.simpleString()
@@ -51,11 +64,11 @@ def edges_of(rows: DataFrame, opened: DataFrame, anchors: Anchors, units) -> Dat
         split = units()
 
         def step(cols):
-            m, h, which, first = [], [], [], []
-            for i, (text, pieces) in enumerate(zip(cols["text"], cols["open"], strict=True)):
+            m, h, lens, first = [], [], [], []
+            for text, pieces in zip(cols["text"], cols["open"], strict=True):
                 u = split(text)
                 pieces.sort(key=lambda p: p["first"])
-                lo, of = -CHUNK, None
+                lo, of, edges = -CHUNK, None, 0
                 for p in pieces:
                     a, b = p["first"], p["first"] + p["n"]
                     if b > lo + CHUNK:
@@ -64,11 +77,11 @@ def edges_of(rows: DataFrame, opened: DataFrame, anchors: Anchors, units) -> Dat
                     h.append(of[a - lo : b - lo])
                     m.append(np.full(b - a, p["m"]))
                     first.append(np.arange(a, b, dtype=np.int32))
-                    which += [i] * (b - a)
-            if not which:
+                    edges += b - a
+                lens.append(edges)
+            if not h:
                 return None
-            ids, row = cols["id"], cols["row"]
-            return {"m": np.concatenate(m), "h": np.concatenate(h).view(np.int64), "row": [row[i] for i in which], "id": [ids[i] for i in which], "first": np.concatenate(first)}
+            return {"m": np.concatenate(m), "h": np.concatenate(h).view(np.int64), "row": repeated(cols["row"], lens), "id": repeated(cols["id"], lens), "first": np.concatenate(first)}
 
         return step
 
@@ -76,17 +89,21 @@ def edges_of(rows: DataFrame, opened: DataFrame, anchors: Anchors, units) -> Dat
 
 
 def repeated_spans(rows: DataFrame, anchors: Anchors, units, name: str = "words") -> DataFrame:
-    """row, first, n: runs of windows that also start earlier, and ``source`` (id, row, first), where."""
+    """row, first, n: runs of windows that also start earlier; src, src_first (row and window): where."""
     pieces = recurring(rows, anchors, units, name)
-    sets = classes(pieces)
+    sets = classes(pieces, name)
     later = pieces.join(sets.filter("many > 1").select("m", "s", "lead"), ["m", "s"])
-    later = later.filter((F.col("row") != F.col("lead.row")) | (F.col("first") != F.col("lead.first")))
-    later = later.select("row", "first", "n", F.struct("lead.id", "lead.row", "lead.first").alias("source"))
-    opened = sets.join(branching(sets), "m", "left_semi").select("m", "lead.row", "lead.first", "lead.n")
-    edges = edges_of(rows, opened, anchors, units)
+    later = later.select("row", "first", "n", F.col("lead.row").alias("src"), F.col("lead.first").alias("src_first"))
+    forks = branching(sets, name)
+    opened = sets.join(forks, "m", "left_semi").select("m", "lead.row", "lead.first", "lead.n")
+    edges = written(edges_of(rows, opened, anchors, units), f"{name}-edges", release=True)
     earliest = edges.groupBy("m", "h").agg(F.count("*").alias("many"), F.min(F.struct("id", "row", "first")).alias("source")).filter("many > 1")
-    more = edges.join(earliest, ["m", "h"]).filter((F.col("row") != F.col("source.row")) | (F.col("first") != F.col("source.first")))
-    return later.unionByName(more.select("row", "first", F.lit(1).alias("n"), "source"))
+    earliest = written(earliest.select("m", "h", F.col("source.row").alias("src"), F.col("source.first").alias("src_first")), f"{name}-earliest", release=True)
+    more = edges.join(earliest, ["m", "h"]).select("row", "first", F.lit(1).alias("n"), "src", "src_first")
+    found = later.unionByName(more).filter("row <> src OR first <> src_first")
+    spans = long_spans(found, name)
+    discarded(pieces, sets, forks, edges, earliest)
+    return spans
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -95,22 +112,21 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     A word goes if a window of ``window`` words that covers it also starts earlier: in a row with a smaller
     identifier, or earlier in the same row. Nulls are the smallest identifiers, and of rows that tie in it the one
     that comes first in the table is the earlier. A null text has no words; a text shorter than a window loses
-    none. Of repeated rows all but one lose every word that a window covers.
+    none. Of repeated rows all but one lose every word that a window covers. Other columns of docs, whatever their
+    names, play no part.
     """
     rows, anchors = numbered(docs, text, ident), Anchors(anchor, window)
-    found = with_spans(rows, repeated_spans(rows, anchors, word_units))
+    found = with_spans(rows, sourced(rows, repeated_spans(rows, anchors, word_units), words_at(window), "words"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def make():
         def step(cols):
             n, removed, digest, kept = [], [], [], []
             for t, spans in zip(cols["text"], cols["spans"], strict=True):
-                words = t.encode("utf-8", "surrogatepass").split()
+                left = words = t.encode("utf-8", "surrogatepass").split()
                 if spans:
-                    gone = covered(len(words), window, spans)
+                    gone = covered(len(words), window, spans, lambda first, k: b" ".join(words[first : first + k + window - 1]))  # noqa: B023
                     left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                else:
-                    left = words
                 joined = b" ".join(left)
                 n.append(len(words))
                 removed.append(len(words) - len(left))
