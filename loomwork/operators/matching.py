@@ -1,215 +1,170 @@
 """Maximum-weight matching in general graphs, one connected component at a time.
 
-The primal-dual blossom method (Edmonds 1965; see Galil's survey of 1986), cubic in a component's nodes. Weights
-are scaled to integers, so that the duals stay exact.
+Edmonds' primal-dual method (1965). The graph is a list of edges, as arrays; nothing grows with the square of the
+nodes. Each step looks at all edges at once: it moves the duals as far as they go and uses one edge that has become
+tight, or opens one blossom. Weights are scaled to integers, so that the duals stay exact.
 """
 
 from __future__ import annotations
 
-from collections import deque
+import numpy as np
 
 #: Weights are multiples of 1 / SCALE.
 SCALE = 1 << 20
+#: Nodes that the exact search takes on, after the pairs that need no search. More of them, connected, are an error.
+LARGEST = 20_000
 
+_FREE, _EVEN, _ODD = 0, 1, 2
 
-class _Blossoms:
-    def __init__(self, n: int, edges: list[tuple[int, int, int]]) -> None:
-        self.n, self.top = n, n
-        size = 2 * n + 2
-        self.w = [[0] * size for _ in range(size)]
-        self.ends = [[(u, v) for v in range(size)] for u in range(size)]
-        for u, v, weight in edges:
-            self.w[u][v] = self.w[v][u] = max(weight, self.w[u][v])
-        most = max((weight for _, _, weight in edges), default=0)
-        self.dual = [most] * (n + 1) + [0] * (size - n - 1)
-        self.mate, self.slack, self.parent, self.seen = [0] * size, [0] * size, [0] * size, [0] * size
-        self.outer = list(range(n + 1)) + [0] * (size - n - 1)
-        self.label = [-1] * size
-        self.petals: list[list[int]] = [[] for _ in range(size)]
-        self.inside = [[u if u == v and u <= n else 0 for v in range(n + 1)] for u in range(size)]
-        self.queue: deque[int] = deque()
-        self.stamp = 0
-
-    def gap(self, u: int, v: int) -> int:
-        a, b = self.ends[u][v]
-        return self.dual[a] + self.dual[b] - 2 * self.w[a][b]
-
-    def offer(self, u: int, x: int) -> None:
-        if not self.slack[x] or self.gap(u, x) < self.gap(self.slack[x], x):
-            self.slack[x] = u
-
-    def reset_slack(self, x: int) -> None:
-        self.slack[x] = 0
-        for u in range(1, self.n + 1):
-            if self.w[u][x] > 0 and self.outer[u] != x and self.label[self.outer[u]] == 0:
-                self.offer(u, x)
 
-    def enqueue(self, x: int) -> None:
-        if x <= self.n:
-            self.queue.append(x)
-        else:
-            for p in self.petals[x]:
-                self.enqueue(p)
+class _Search:
+    """Nodes 0 to n - 1 are ends, later numbers blossoms: rings of an odd number of nodes, the first of which holds the
+    ring's base, the end whose partner is outside. Even nodes are those at an even distance from the unmatched root of
+    their tree."""
 
-    def set_outer(self, x: int, b: int) -> None:
-        self.outer[x] = b
-        for p in self.petals[x] if x > self.n else ():
-            self.set_outer(p, b)
-
-    def place(self, b: int, petal: int) -> int:
-        """The even place of a petal, after turning the blossom if need be."""
-        at = self.petals[b].index(petal)
-        if at % 2:
-            self.petals[b][1:] = self.petals[b][:0:-1]
-            at = len(self.petals[b]) - at
-        return at
-
-    def marry(self, u: int, v: int) -> None:
-        a, b = self.ends[u][v]
-        self.mate[u] = b
-        if u > self.n:
-            petal = self.inside[u][a]
-            at = self.place(u, petal)
-            for i in range(at):
-                self.marry(self.petals[u][i], self.petals[u][i ^ 1])
-            self.marry(petal, v)
-            self.petals[u] = self.petals[u][at:] + self.petals[u][:at]
-
-    def augment(self, u: int, v: int) -> None:
+    def __init__(self, n: int, edges: list[tuple[int, int, int]]) -> None:
+        self.n = n
+        self.u, self.v, self.w = (np.array(x, np.int64) for x in zip(*edges, strict=True))
+        self.dual = np.full(n, self.w.max(), np.int64)  # of ends
+        self.top = np.arange(n)  # outermost node of each end
+        self.label = np.zeros(n, np.int8)  # of nodes
+        self.partner: list[int | None] = [None] * n
+        self.base = list(range(n))
+        self.holder: list[int | None] = [None] * n  # the blossom around a node
+        self.ends: list[np.ndarray] = [np.array([x]) for x in range(n)]
+        self.entry: dict[int, tuple[int, int]] = {}  # odd node: the edge that it was reached by, from even to odd
+        self.rings: dict[int, tuple[list[int], list[tuple[int, int]]]] = {}  # blossom: nodes, edges from each to the next
+        self.extra: dict[int, int] = {}  # dual of a blossom
+
+    def turn(self, node: int, end: int) -> None:
+        """Make ``end`` the base of a node: match the rest of its ring in pairs."""
+        if self.base[node] == end:
+            return
+        nodes, links = self.rings[node]
+        inner = end
+        while self.holder[inner] != node:
+            inner = self.holder[inner]
+        at, size = nodes.index(inner), len(nodes)
+        self.turn(inner, end)
+        for k in range(1, size, 2):
+            x, y = links[(at + k) % size]
+            self.turn(nodes[(at + k) % size], x)
+            self.turn(nodes[(at + k + 1) % size], y)
+            self.partner[x], self.partner[y] = y, x
+        self.rings[node] = nodes[at:] + nodes[:at], links[at:] + links[:at]
+        self.base[node] = end
+
+    def up(self, node: int) -> list[tuple[int, int, int]]:
+        """The way from an even node to its root: (node, and the edge to it from the one before). The first has none."""
+        way = [(node, -1, -1)]
+        while (mate := self.partner[self.base[node]]) is not None:
+            odd = int(self.top[mate])
+            way.append((odd, self.base[node], mate))
+            x, y = self.entry[odd]
+            node = int(self.top[x])
+            way.append((node, y, x))
+        return way
+
+    def flip(self, end: int, other: int) -> None:
+        """Match an end of an even node with ``other`` outside, and along the way to the root what follows from it."""
         while True:
-            nxt = self.outer[self.mate[u]]
-            self.marry(u, v)
-            if not nxt:
+            node = int(self.top[end])
+            mate = self.partner[self.base[node]]
+            self.turn(node, end)
+            self.partner[end] = other
+            if mate is None:
                 return
-            self.marry(nxt, self.outer[self.parent[nxt]])
-            u, v = self.outer[self.parent[nxt]], nxt
-
-    def meeting(self, u: int, v: int) -> int:
-        self.stamp += 1
-        while u or v:
-            if u:
-                if self.seen[u] == self.stamp:
-                    return u
-                self.seen[u] = self.stamp
-                u = self.outer[self.mate[u]]
-                if u:
-                    u = self.outer[self.parent[u]]
-            u, v = v, u
-        return 0
-
-    def shrink(self, u: int, base: int, v: int) -> None:
-        b = self.n + 1
-        while b <= self.top and self.outer[b]:
-            b += 1
-        self.top = max(self.top, b)
-        self.dual[b], self.label[b], self.mate[b] = 0, 0, self.mate[base]
-        petals = [base]
-        for end in (u, v):
-            x = end
-            while x != base:
-                y = self.outer[self.mate[x]]
-                petals += [x, y]
-                self.enqueue(y)
-                x = self.outer[self.parent[y]]
-            if end is u:
-                petals[1:] = petals[:0:-1]
-            if u == v:
-                break
-        self.petals[b] = petals
-        self.set_outer(b, b)
-        for x in range(1, self.top + 1):
-            self.w[b][x] = self.w[x][b] = 0
-        self.inside[b] = [0] * (self.n + 1)
-        for p in petals:
-            for x in range(1, self.top + 1):
-                if self.w[p][x] and (self.w[b][x] == 0 or self.gap(p, x) < self.gap(b, x)):
-                    self.w[b][x], self.w[x][b] = self.w[p][x], self.w[x][p]
-                    self.ends[b][x], self.ends[x][b] = self.ends[p][x], self.ends[x][p]
-            for x in range(1, self.n + 1):
-                if self.inside[p][x]:
-                    self.inside[b][x] = p
-        self.reset_slack(b)
-
-    def expand(self, b: int) -> None:
-        for p in self.petals[b]:
-            self.set_outer(p, p)
-        petal = self.inside[b][self.ends[b][self.parent[b]][0]]
-        at = self.place(b, petal)
-        for i in range(0, at, 2):
-            x, y = self.petals[b][i], self.petals[b][i + 1]
-            self.parent[x] = self.ends[y][x][0]
-            self.label[x], self.label[y] = 1, 0
-            self.slack[x] = 0
-            self.reset_slack(y)
-            self.enqueue(y)
-        self.label[petal], self.parent[petal] = 1, self.parent[b]
-        for p in self.petals[b][at + 1 :]:
-            self.label[p] = -1
-            self.reset_slack(p)
-        self.outer[b] = 0
-
-    def tight(self, u: int, v: int) -> bool:
-        """Use a tight edge; True if it completed an augmenting path."""
-        a, b = self.ends[u][v]
-        x, y = self.outer[a], self.outer[b]
-        if self.label[y] == -1:
-            self.parent[y], self.label[y] = a, 1
-            z = self.outer[self.mate[y]]
-            self.slack[y] = self.slack[z] = 0
-            self.label[z] = 0
-            self.enqueue(z)
-        elif self.label[y] == 0:
-            base = self.meeting(x, y)
-            if not base:
-                self.augment(x, y)
-                self.augment(y, x)
-                return True
-            self.shrink(x, base, y)
+            odd = int(self.top[mate])
+            x, y = self.entry[odd]
+            self.turn(odd, y)
+            self.partner[y] = x
+            end, other = x, y
+
+    def use(self, x: int, y: int) -> bool:
+        """Use a tight edge from an even node; True if it made the matching larger."""
+        a, b = int(self.top[x]), int(self.top[y])
+        if self.label[b] == _FREE:
+            self.label[b] = _ODD
+            self.entry[b] = (x, y)
+            self.label[self.top[self.partner[self.base[b]]]] = _EVEN
+            return False
+        left, right = self.up(a), self.up(b)
+        if left[-1][0] != right[-1][0]:
+            self.flip(x, y)
+            self.flip(y, x)
+            return True
+        seen = {node: i for i, (node, _, _) in enumerate(left)}
+        j = next(i for i, (node, _, _) in enumerate(right) if node in seen)
+        self.close(left[: seen[right[j][0]] + 1], right[: j + 1], x, y)
         return False
 
-    def phase(self) -> bool:
-        for x in range(1, self.top + 1):
-            self.label[x], self.slack[x] = -1, 0
-        self.queue.clear()
-        for x in range(1, self.top + 1):
-            if self.outer[x] == x and not self.mate[x]:
-                self.parent[x], self.label[x] = 0, 0
-                self.enqueue(x)
-        if not self.queue:
-            return False
+    def close(self, left: list[tuple[int, int, int]], right: list[tuple[int, int, int]], x: int, y: int) -> None:
+        """The ring of two ways that end in one node, over the edge x, y between their beginnings."""
+        nodes = [node for node, _, _ in reversed(left)] + [node for node, _, _ in right[:-1]]
+        links = [(there, here) for _, here, there in reversed(left[1:])] + [(x, y)] + [(here, there) for _, here, there in right[1:]]
+        ring = len(self.base)
+        self.rings[ring], self.extra[ring] = (nodes, links), 0
+        self.base.append(self.base[nodes[0]])
+        self.holder.append(None)
+        self.ends.append(np.concatenate([self.ends[k] for k in nodes]))
+        self.label = np.append(self.label, np.int8(_EVEN))
+        for k in nodes:
+            self.holder[k] = ring
+        self.top[self.ends[ring]] = ring
+
+    def open(self, ring: int) -> None:
+        """Take an odd blossom apart. The nodes from where it was reached to its base stay in the tree."""
+        nodes, links = self.rings.pop(ring)
+        del self.extra[ring]
+        for k in nodes:
+            self.holder[k] = None
+            self.top[self.ends[k]] = k
+            self.label[k] = _FREE
+        x, y = self.entry.pop(ring)
+        size, at = len(nodes), nodes.index(int(self.top[y]))
+        step = -1 if at % 2 == 0 else 1  # the way round of an even number of edges
+        self.label[nodes[at]], self.entry[nodes[at]] = _ODD, (x, y)
+        while at % size:
+            even, odd = (at + step) % size, (at + 2 * step) % size
+            here, there = links[even] if step == 1 else links[odd][::-1]
+            self.label[nodes[even]], self.label[nodes[odd]] = _EVEN, _ODD
+            self.entry[nodes[odd]] = (here, there)
+            at = odd
+
+    def grow(self) -> bool:
+        """One more pair; False if no larger weight is possible."""
+        self.label[:] = _FREE
+        self.entry.clear()
+        alone = [x for x in range(self.n) if self.partner[x] is None]
+        self.label[self.top[alone]] = _EVEN
         while True:
-            while self.queue:
-                u = self.queue.popleft()
-                if self.label[self.outer[u]] == 1:
-                    continue
-                for v in range(1, self.n + 1):
-                    if self.w[u][v] > 0 and self.outer[u] != self.outer[v]:
-                        if self.gap(u, v) == 0:
-                            if self.tight(u, v):
-                                return True
-                        else:
-                            self.offer(u, self.outer[v])
-            steps = [self.dual[b] // 2 for b in range(self.n + 1, self.top + 1) if self.outer[b] == b and self.label[b] == 1]
-            for x in range(1, self.top + 1):
-                if self.outer[x] == x and self.slack[x] and self.label[x] < 1:
-                    d = self.gap(self.slack[x], x)
-                    steps.append(d if self.label[x] == -1 else d // 2)
-            free = [self.dual[u] for u in range(1, self.n + 1) if self.label[self.outer[u]] == 0]
-            d = min(steps, default=min(free))
-            if min(free) <= d:
+            a, b = self.top[self.u], self.top[self.v]
+            la, lb = self.label[a], self.label[b]
+            slack = self.dual[self.u] + self.dual[self.v] - 2 * self.w
+            reach = np.flatnonzero((np.maximum(la, lb) == _EVEN) & (np.minimum(la, lb) == _FREE))
+            meet = np.flatnonzero((la == _EVEN) & (lb == _EVEN) & (a != b))
+            even = self.label[self.top] == _EVEN
+            step, event, what = int(self.dual[even].min(initial=np.iinfo(np.int64).max)), "end", -1
+            if reach.size and (d := int(slack[k := reach[slack[reach].argmin()]])) < step:
+                step, event, what = d, "edge", int(k)
+            if meet.size and (d := int(slack[k := meet[slack[meet].argmin()]]) // 2) < step:
+                step, event, what = d, "edge", int(k)
+            outer = [r for r in self.rings if self.holder[r] is None]
+            for r in outer:
+                if self.label[r] == _ODD and self.extra[r] // 2 < step:
+                    step, event, what = self.extra[r] // 2, "open", r
+            if event == "end":
                 return False
-            for u in range(1, self.n + 1):
-                self.dual[u] += (-d, d)[self.label[self.outer[u]]] if self.label[self.outer[u]] >= 0 else 0
-            for b in range(self.n + 1, self.top + 1):
-                if self.outer[b] == b and self.label[b] >= 0:
-                    self.dual[b] += (2 * d, -2 * d)[self.label[b]]
-            self.queue.clear()
-            for x in range(1, self.top + 1):
-                if self.outer[x] == x and self.slack[x] and self.outer[self.slack[x]] != x and self.gap(self.slack[x], x) == 0 and self.tight(self.slack[x], x):
-                    return True
-            for b in range(self.n + 1, self.top + 1):
-                if self.outer[b] == b and self.label[b] == 1 and self.dual[b] == 0:
-                    self.expand(b)
+            self.dual[even] -= step
+            self.dual[self.label[self.top] == _ODD] += step
+            for r in outer:
+                self.extra[r] += {_EVEN: 2 * step, _ODD: -2 * step}.get(int(self.label[r]), 0)
+            if event == "open":
+                self.open(what)
+                continue
+            x, y = int(self.u[what]), int(self.v[what])
+            if self.use(*((x, y) if self.label[self.top[x]] == _EVEN else (y, x))):
+                return True
 
 
 def _settled(edges: dict[tuple[str, str], int]) -> tuple[list[tuple[str, str]], dict[tuple[str, str], int]]:
@@ -257,9 +212,11 @@ def max_weight_matching(edges: list[tuple[str, str, float]]) -> list[tuple[str,
         parts.setdefault(find(u), []).append((u, v, w))
     for part in parts.values():
         names = sorted({x for u, v, _ in part for x in (u, v)})
-        number = {x: i + 1 for i, x in enumerate(names)}
-        solver = _Blossoms(len(names), sorted((number[u], number[v], w) for u, v, w in part))
-        while solver.phase():
+        if len(names) > LARGEST:
+            raise ValueError(f"{len(names)} connected nodes are left to match, more than {LARGEST}")
+        number = {x: i for i, x in enumerate(names)}
+        search = _Search(len(names), sorted((number[u], number[v], w) for u, v, w in part))
+        while search.grow():
             pass
-        out += [(names[u - 1], names[solver.mate[u] - 1]) for u in range(1, len(names) + 1) if solver.mate[u] > u]
+        out += [(names[u], names[v]) for u, v in enumerate(search.partner) if v is not None and v > u]
     return sorted(out)
