@@ -133,12 +133,13 @@ def scaffoldstats(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def writegml(spark: SparkSession, a: argparse.Namespace) -> None:
-    edges = graph.merged(graph.realized(graph.adjacencies(r.read_agp(spark, a.agp))))
-    edges = written(edges.select("u", "v", "weight"), "edges")
+    edges = graph.realized(graph.adjacencies(r.read_agp(spark, a.agp)))
+    evidence = graph.EVIDENCE if a.evidence else ()
+    edges = written(edges.select("u", "v", "weight", *evidence) if a.evidence else graph.merged(edges).select("u", "v", "weight"), "edges")
     if a.most and (n := edges.count()) > a.most:
         raise SystemExit(f"{n} edges, more than {a.most}")
     with open(a.out, "w") as f:
-        f.writelines(graph.gml_parts(edges, True))
+        f.writelines(graph.gml_parts(edges, True, evidence, a.both_ways))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -175,7 +176,7 @@ def parser() -> argparse.ArgumentParser:
     add(updategff, "gff", "agp", to_pieces=False)
     add(rename, "query", prefix="seq")
     add(scaffoldstats, "agp", "confidence", out=False)
-    add(writegml, "agp", most=0)
+    add(writegml, "agp", most=0, evidence=False, both_ways=False)
     return top
 
 

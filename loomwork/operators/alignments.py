@@ -71,9 +71,9 @@ def useful_for_patching(alns: DataFrame, length: int, distance: float) -> DataFr
     return alns.join(good, "query", "left_semi").select(*alns.columns)
 
 
-def single_cover(alns: DataFrame) -> DataFrame:
+def single_cover(alns: DataFrame, stretches: bool = False) -> DataFrame:
     """Per alignment with query bases that no other alignment of the query covers: query, line_no, ``alone``
-    (how many) and ``stretches`` (of which bases).
+    (how many) and, if asked for, ``stretches`` (of which bases).
 
     A sweep over interval ends, by position, row and start before end: where the running depth is 1, the running
     sum of signed row numbers names the alignment that is open. One sort and one aggregate, no self-join.
@@ -91,13 +91,14 @@ def single_cover(alns: DataFrame) -> DataFrame:
         F.sum("sign").over(past).alias("depth"),
         F.sum(F.col("sign") * F.col("line_no")).over(past).alias("open"),
     ).filter("depth = 1")
-    return swept.groupBy("query", F.col("open").alias("line_no")).agg(F.sum(F.col("pos") - F.col("from")).alias("alone"), F.collect_set(F.struct("from", "pos")).alias("stretches"))
+    which = [F.collect_set(F.struct("from", "pos")).alias("stretches")] if stretches else []
+    return swept.groupBy("query", F.col("open").alias("line_no")).agg(F.sum(F.col("pos") - F.col("from")).alias("alone"), *which)
 
 
 def unique_anchors(alns: DataFrame, length: int, keep_small: bool = False) -> DataFrame:
     """Alignments that alone cover at least ``length`` query bases; with keep_small also those whose interval is
     one stretch that they cover alone. line_no must be unique in a query and positive."""
-    alone = single_cover(alns)
+    alone = single_cover(alns, keep_small)
     found = alns.join(alone, ["query", "line_no"], "left")
     keep = F.coalesce(F.col("alone"), F.lit(0)) >= length
     if keep_small:

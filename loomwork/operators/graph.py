@@ -239,6 +239,15 @@ class ScaffoldGraph:
         names = list(names)
         return ScaffoldGraph(self.sequences, self.edges.filter(~F.col("u").isin(names) & ~F.col("v").isin(names)))
 
+    def without_edges(self, pairs: Iterable[tuple[str, str]]) -> ScaffoldGraph:
+        """Without all edges, parallel ones included, between the nodes of each pair. A short list."""
+        gone = [F.struct(F.lit(min(p)).alias("u"), F.lit(max(p)).alias("v")) for p in pairs]
+        return self if not gone else ScaffoldGraph(self.sequences, self.edges.filter(~F.struct("u", "v").isin(*gone)))
+
+    def edge(self, u: str, v: str) -> DataFrame:
+        """The attributes of the edges between two nodes: weight and evidence, one row for each."""
+        return self.edges.filter((F.col("u") == min(u, v)) & (F.col("v") == max(u, v))).select(*self.REQUIRED)
+
     def has_edge(self, u: str, v: str) -> bool:
         return bool(self.edges.filter((F.col("u") == min(u, v)) & (F.col("v") == max(u, v))).head(1))
 
@@ -267,20 +276,23 @@ def gml(edges: list[tuple[str, str, float]], with_inner: bool = False) -> str:
     return "\n".join([*out, "]"]) + "\n"
 
 
-def gml_parts(edges: DataFrame, with_inner: bool = False) -> Iterator[str]:
-    """A graph of any size (u, v, weight) as GML text in parts; the driver holds a partition at a time."""
+def gml_parts(edges: DataFrame, with_inner: bool = False, attributes: tuple[str, ...] = (), both_ways: bool = False) -> Iterator[str]:
+    """A graph of any size (u, v, weight) as GML text in parts; the driver holds a partition at a time. ``attributes``
+    are further columns, written where they aren't null; both_ways writes a directed graph, each edge there and back."""
     nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct().orderBy("node")
     nodes = written(nodes.withColumns({"_pid": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "nodes")
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     starts = nodes.groupBy("_pid").agg(F.count("*").alias("_n")).select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     nodes = nodes.join(F.broadcast(starts), "_pid").select("node", (F.col("_start") + F.col("_at")).alias("id"))
     left, right = (nodes.select(F.col("node").alias(k), F.col("id").alias(f"{k}_id")) for k in "uv")
-    lines = edges.select("u", "v", "weight").join(left, "u").join(right, "v").orderBy("u", "v", "weight")
-    yield "graph [\n"
+    lines = edges.select("u", "v", "weight", *attributes).join(left, "u").join(right, "v").orderBy("u", "v", "weight", *attributes)
+    yield "graph [\n  directed 1\n" if both_ways else "graph [\n"
     for x in nodes.orderBy("id").toLocalIterator():
         yield f'  node [\n    id {x.id}\n    label "{x.node}"\n  ]\n'
     for x in lines.toLocalIterator():
-        yield f'  edge [\n    source {x.u_id}\n    target {x.v_id}\n    weight "{x.weight}"\n  ]\n'
+        more = "".join(f'    {name.replace("_", "")} "{x[name]}"\n' for name in attributes if x[name] is not None)
+        for a, b in ((x.u_id, x.v_id), (x.v_id, x.u_id))[: 2 if both_ways else 1]:
+            yield f'  edge [\n    source {a}\n    target {b}\n    weight "{x.weight}"\n{more}  ]\n'
     if with_inner:
         begins = nodes.filter(F.col("node").endswith("_b")).select(F.expr("concat(left(node, length(node) - 2), '_e')").alias("node"), F.col("id").alias("begin"))
         for x in begins.join(nodes, "node").orderBy("begin").toLocalIterator():

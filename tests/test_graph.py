@@ -109,3 +109,50 @@ def test_patch_fills_a_gap(spark):
     how = pipelines.Filters(anchor=100, keep_small=False, mapq=10, chain=100)
     got = shape(pipelines.patch(alns, target, sequences, how, length=500, distance=0.05))
     assert sorted(got.values(), key=repr) == [[("a", "+"), ("q", "+"), ("b", "+")], [("c", "+")]]
+
+
+def test_graph_edges_can_be_read_and_removed(spark):
+    rows = [("a_e", "b_b", 1.0, True, 50, "scaffold", True, "map"), ("a_e", "b_b", 2.0, None, 0, None, False, "bookend"), ("b_e", "c_b", 1.0, False, 100, "scaffold", True, "na")]
+    edges = spark.createDataFrame(rows, "u string, v string, weight double, known boolean, gap_size long, gap_type string, linkage boolean, linkage_evidence string")
+    g = graph.ScaffoldGraph(spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "name string, length long"), edges).checked()
+    assert sorted((r.weight, r.gap_size) for r in g.edge("b_b", "a_e").collect()) == [(1.0, 50), (2.0, 0)]
+    left = g.without_edges([("b_b", "a_e")])
+    assert not left.has_edge("a_e", "b_b") and left.has_edge("c_b", "b_e") and g.without_edges([]).edges.count() == 3
+    text = "".join(graph.gml_parts(edges.orderBy("u"), True, graph.EVIDENCE, True))
+    assert text.count("edge [") == 2 * 3 + 1 and "directed 1" in text and 'linkageevidence "bookend"' in text and text.count('gapsize "50"') == 2
+
+
+def test_patch_follows_the_strands_of_its_target(spark):
+    targets = layout(spark, {"o": [("x", "+"), 70, ("y", "-"), 80, ("z", "-")]})
+    none = spark.createDataFrame([], "query string, query_len long, query_start long, query_end long, strand string, ref string, ref_len long, ref_start long, ref_end long, num_match long, aln_len long, mapq long, line_no long")
+    got = pipelines.patch_edges(none, targets)
+    assert {(r.u, r.v, r.gap_len) for r in got.collect()} == {("x_e", "y_e", 70), ("y_b", "z_e", 80)}
+
+
+def test_merge_skips_components(spark):
+    one = layout(spark, {"o": [("x", "+"), 70, ("y", "+"), 80, ("z", "+")]})
+    lengths = spark.createDataFrame([(n, 1000) for n in "xyz"], "name string, length long")
+    skip = spark.createDataFrame([("z",)], "name string")
+    got = shape(pipelines.merge([(one, 1.0), (one, 1.0)], lengths, 0, skip=skip))
+    assert sorted(got.values(), key=len) == [[("z", "+")], [("x", "+"), 70, ("y", "+")]]
+
+
+def test_matching_of_odd_rings_and_its_limit(monkeypatch):
+    """Rings within rings, where blossoms are closed and opened again."""
+    from loomwork.operators import matching
+
+    rnd = random.Random(9)
+    for _ in range(40):
+        w = {}
+        for k in range(3):
+            ring = [5 * k + i for i in range(5)]
+            for i in range(5):
+                w[tuple(sorted((ring[i], ring[(i + 1) % 5])))] = rnd.randint(8, 11)
+        for a, b in ((0, 5), (6, 10), (11, 1), (2, 7)):
+            w[a, b] = rnd.randint(1, 12)
+        w = {tuple(sorted(k)): x for k, x in w.items()}
+        got = max_weight_matching([(f"{u:02}", f"{v:02}", x) for (u, v), x in w.items()])
+        assert sum(w[tuple(sorted(map(int, p)))] for p in got) == best_weight(tuple(range(15)), w)
+    monkeypatch.setattr(matching, "LARGEST", 4)
+    with pytest.raises(ValueError, match="more than 4"):
+        max_weight_matching([(str(i), str((i + 1) % 5), 1.0) for i in range(5)])
