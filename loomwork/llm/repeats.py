@@ -8,14 +8,15 @@ for a document is bounded by its own length, what is asked of a source by ASKED.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Anchors
-from .common import discarded, in_arrow, whole_text, with_row_numbers, written
+from .common import discarded, importable, in_arrow, whole_text, with_row_numbers, written
 
 PIECE = "m long, s long, row long, id {id}, first int, n int, off int"
 #: Spans that one row of a source answers about.
@@ -73,41 +74,52 @@ def branching(sets: DataFrame, name: str) -> DataFrame:
     return written(sets.groupBy("m").agg(F.count("*").alias("sets")).filter("sets > 1"), f"{name}-branching", release=True)
 
 
+def _joined(row: int, first: np.ndarray, n: np.ndarray, src: np.ndarray, src_first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """first, n, src, at of the long spans of one row. src: -1 where there is none; in the result -2 is this row."""
+    # of equal windows in a row each has the one before as its source, so that a periodic stretch is one long span
+    order = np.lexsort((first, n, src_first, src))
+    first, n, src, src_first = first[order], n[order], src[order], src_first[order]
+    none = (src < 0) | ((src == row) & (src_first == first))
+    same = np.append(False, (src[1:] == src[:-1]) & (src_first[1:] == src_first[:-1]) & (n[1:] == n[:-1])) & (src >= 0) & ~none
+    at = np.where(same, np.append(0, first[:-1]), src_first)
+    src = np.where(none, -1, np.where(same | (src == row), -2, src))
+    shift = np.where(none, 0, at - first)
+    # what goes on in the same source
+    order = np.lexsort((first, shift, src))
+    first, src, shift = first[order], src[order], shift[order]
+    end = first + n[order]
+    new = np.append(True, (src[1:] != src[:-1]) | (shift[1:] != shift[:-1]))
+    far = np.cumsum(new) * (1 << 40) + end
+    reach = np.maximum.accumulate(far)
+    new |= np.append(True, np.cumsum(new)[1:] * (1 << 40) + first[1:] > reach[:-1])
+    start = np.flatnonzero(new)
+    ends = np.maximum.reduceat(end, start) if start.size else start
+    return first[start], ends - first[start], src[start], first[start] + shift[start]
+
+
 def long_spans(spans: DataFrame, name: str) -> DataFrame:
     """row, first, n, src, at: spans (row, first, n, src, src_first) with neighbours joined that go on in the same
-    source. Spans that are their own source, or have none, get a null src. A written table."""
-
-    def make():
-        def step(cols):
-            out = {"row": [], "first": [], "n": [], "src": [], "at": []}
-            for row, found in zip(cols["row"], cols["spans"], strict=True):
-                runs: list[list] = []
-                keyed = []
-                for x in found:
-                    own = x["src"] is None or (x["src"] == row and x["src_first"] == x["first"])
-                    keyed.append((-1, 0, x["first"], x["n"]) if own else (x["src"], x["src_first"] - x["first"], x["first"], x["n"]))
-                for src, shift, first, n in sorted(keyed):
-                    if runs and runs[-1][0] == src and runs[-1][1] == shift and first <= runs[-1][3]:
-                        runs[-1][3] = max(runs[-1][3], first + n)
-                    else:
-                        runs.append([src, shift, first, first + n])
-                for src, shift, first, end in runs:
-                    out["row"].append(row)
-                    out["first"].append(first)
-                    out["n"].append(end - first)
-                    out["src"].append(None if src < 0 else src)
-                    out["at"].append(None if src < 0 else first + shift)
-            return out
+    source. A source in the same row has a null src; spans that are their own source, or have none, have a null at as
+    well. A written table. A row's spans are arrays here, in number bounded by the text's length."""
+    importable(spans.sparkSession)
+    each = spans.groupBy("row").agg(F.collect_list(F.struct("first", "n", "src", "src_first")).alias("spans"))
+    schema = pa.schema([("row", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("src", pa.int64()), ("at", pa.int32())])
 
-        return step
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lists = batch.column("row").to_numpy(), batch.column("spans")
+            for i, row in enumerate(rows.tolist()):
+                found = lists[i].values
+                first, n, src, src_first = (found.field(k).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+                first, n, src, at = _joined(row, first, n, src, src_first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(first.size, row)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(src, mask=src < 0), pa.array(at.astype(np.int32), mask=src == -1)], schema=schema)
 
-    each = spans.groupBy("row").agg(F.collect_list(F.struct("first", "n", "src", "src_first")).alias("spans"))
-    return written(in_arrow(each, "row long, first int, n int, src long, at int", make), f"{name}-spans", release=True)
+    return written(each.mapInArrow(run, "row long, first int, n int, src long, at int"), f"{name}-spans", release=True)
 
 
 def sourced(rows: DataFrame, spans: DataFrame, cut: Callable[[], Callable[[str], Callable[[int, int], bytes]]], name: str) -> DataFrame:
-    """spans (long_spans) with ``source``: what the source has at the span's coordinates; null where there is no
-    source. cut() gives what makes of a text a function of first window and number of windows.
+    """spans (long_spans) with ``source``: what the source has at the span's coordinates; null where there is none or
+    it is the same row. cut() gives what makes of a text a function of first window and number of windows.
 
     A source that many spans have is dealt out: each of its rows here answers about ASKED of them."""
     asked = spans.filter("src IS NOT NULL")
@@ -119,11 +131,11 @@ def sourced(rows: DataFrame, spans: DataFrame, cut: Callable[[], Callable[[str],
         reader = cut()
 
         def step(cols):
-            out = {"row": [], "first": [], "n": [], "source": []}
+            out = {"row": [], "first": [], "n": [], "at": [], "source": []}
             for text, found in zip(cols["text"], cols["asked"], strict=True):
                 read = reader(text)
                 for x in found:
-                    for k in ("row", "first", "n"):
+                    for k in ("row", "first", "n", "at"):
                         out[k].append(x[k])
                     out["source"].append(read(x["at"], x["n"]))
             return out
@@ -131,13 +143,13 @@ def sourced(rows: DataFrame, spans: DataFrame, cut: Callable[[], Callable[[str],
         return step
 
     texts = asked.join(rows.select(F.col("row").alias("src"), "text"), "src").select("asked", "text")
-    answers = in_arrow(texts, "row long, first int, n int, source binary", make)
-    return answers.unionByName(spans.filter("src IS NULL").select("row", "first", "n", F.lit(None).cast("binary").alias("source")))
+    answers = in_arrow(texts, "row long, first int, n int, at int, source binary", make)
+    return answers.unionByName(spans.filter("src IS NULL").select("row", "first", "n", "at", F.lit(None).cast("binary").alias("source")))
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """rows with ``spans``, an array of (first, n, source) runs of windows that go; null if there are none."""
-    each = spans.groupBy("row").agg(F.collect_list(F.struct("first", "n", "source")).alias("spans"))
+    """rows with ``spans``, an array of (first, n, at, source) runs of windows that go; null if there are none."""
+    each = spans.groupBy("row").agg(F.collect_list(F.struct("first", "n", "at", "source")).alias("spans"))
     return rows.join(each, "row", "left")
 
 
@@ -147,7 +159,8 @@ def covered(size: int, window: int, spans: list[dict] | None, have: Callable[[in
     if not spans:
         return np.zeros(size, bool)
     for x in spans:
-        if x["source"] is not None and have(x["first"], x["n"]) != x["source"]:
+        source = x["source"] if x["source"] is not None or x["at"] is None else have(x["at"], x["n"])
+        if source is not None and have(x["first"], x["n"]) != source:
             raise ValueError("a span differs from its source: two unequal windows have the same 128 bits of hash")
     first = np.array([x["first"] for x in spans])
     edge = np.zeros(size + 1, np.int64)
