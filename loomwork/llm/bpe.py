@@ -17,8 +17,9 @@ from itertools import islice
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import in_arrow, shipped, table, whole_text
+from .common import free_name, in_arrow, shipped, table, whole_text
 
 #: Pre-tokens that a task remembers at most, and the longest of them in characters.
 REMEMBERED, LONGEST = 1_000_000, 64
@@ -204,17 +205,18 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     """docs with ``out``, the ids of the whole text as an array of ints; a null or empty text has none. A column
     of that name is replaced. Any other column, null or not, passes as it is."""
     sent = _sent(docs, path, pattern)
-    docs = docs.drop(out).withColumn("__text", whole_text(text))
+    hidden = free_name((*docs.columns, out), "_text")
+    docs = docs.withColumn(hidden, whole_text(f"`{text}`")).drop(out)
 
     def make():
         coder = _encoder(sent)
 
         def step(cols):
-            return cols | {out: [np.frombuffer(ids, "<u4").astype(np.int32) for ids in coder.encode(cols.pop("__text"))]}
+            return cols | {out: [np.frombuffer(ids, "<u4").astype(np.int32) for ids in coder.encode(cols.pop(hidden))]}
 
         return step
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != hidden)
     return in_arrow(docs, f"{schema}, `{out}` array<int>", make)
 
 
@@ -222,14 +224,14 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", ident:
     """Per document: ident, ``n_tokens``, ``ids_sha256`` and, of the decoded ids, ``decoded_sha256``. A null text
     counts as empty; repeated rows and null identifiers are rows like others."""
     sent = _sent(docs, path, pattern)
-    rows = docs.select(ident, whole_text(text).alias("__text"))
+    rows = docs.select(F.col(f"`{ident}`"), whole_text(f"`{text}`").alias(hidden := free_name([ident], "_text")))
 
     def make():
         coder = _encoder(sent)
 
         def step(cols):
             n, of_ids, of_bytes = [], [], []
-            for ids in coder.encode(cols["__text"]):
+            for ids in coder.encode(cols[hidden]):
                 back = hashlib.sha256()
                 for part in coder.decode(ids):
                     back.update(part)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, table, whole_text, written
+from .common import apart, free_name, in_arrow, table, whole_text, written
 
 #: Cosine that a line, sentence, block or text needs, and a window; a template of so few terms needs all of them.
 LEAST, WITHIN, SHORT = 0.6, 0.8, 3
@@ -103,14 +103,14 @@ def document_counts(docs: DataFrame, text: str = "text") -> tuple[dict[str, int]
 
         def step(cols):
             found: dict[str, int] = dict.fromkeys(VOCABULARY, 0)
-            for t in cols["__text"]:
+            for t in cols["_text"]:
                 for w in known & {x.strip(_EDGES) for x in t.lower().split()}:
                     found[w] += 1
-            return {"term": ["", *found], "n": [len(cols["__text"]), *found.values()]}
+            return {"term": ["", *found], "n": [len(cols["_text"]), *found.values()]}
 
         return step
 
-    counts = in_arrow(docs.select(whole_text(text).alias("__text")), "term string, n long", make).groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counts = in_arrow(docs.select(whole_text(f"`{text}`").alias("_text")), "term string, n long", make).groupBy("term").agg(F.sum("n").alias("n")).collect()
     counts = {r["term"]: r["n"] for r in counts}
     return counts, counts.pop("", 0)
 
@@ -214,19 +214,20 @@ def statements(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     ``line`` (where that begins, -1: none). Null and empty texts state none. The whole text is looked at."""
     counts, total = document_counts(docs, text)
     keep = tuple(c for c in keep if c not in ("licence", "cosine", "line"))
-    rows = docs.select(*keep, whole_text(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+    hidden = free_name((*keep, "licence", "cosine", "line"), "_text")
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), whole_text(f"`{text}`").alias(hidden))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != hidden)
 
     def make():
         scanner = Scanner(counts, total)
 
         def step(cols):
-            found = [scanner.best(t) for t in cols.pop("__text")]
+            found = [scanner.best(t) for t in cols.pop(hidden)]
             return cols | {"licence": [x[0] for x in found], "cosine": [x[1] for x in found], "line": [x[2] for x in found]}
 
         return step
 
-    return in_arrow(rows, f"{schema}, licence string, cosine double, line int", make)
+    return in_arrow(rows, f"{schema}licence string, cosine double, line int", make)
 
 
 def ancestors(path: Column) -> Column:
@@ -240,8 +241,10 @@ def inherited(found: DataFrame, path: str, licence_file: str, ident: str = "doc_
 
     Rows with ``licence_file`` true (a Boolean column) and a statement speak for the directory of their path; if a
     directory has several, that of the smallest identifier does. A row without a statement takes that of its
-    deepest ancestor directory with a licence file. A null path has no ancestors.
+    deepest ancestor directory with a licence file. A null path has no ancestors. Columns of found that have a result
+    column's name are replaced, all others pass whatever their names.
     """
+    found, named = apart(found.drop("effective", "basis", "from_directory"), (path, licence_file, "licence", ident))
     speak = found.filter(F.col(licence_file) & F.col("licence").isNotNull() & F.col(path).isNotNull())
     speak = speak.withColumn("_dir", F.array_join(F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1), "/"))
     speak = speak.groupBy("_dir").agg(F.min(F.struct(ident, "licence")).alias("_said"))
@@ -251,12 +254,13 @@ def inherited(found: DataFrame, path: str, licence_file: str, ident: str = "doc_
     near = dirs.join(speak, F.col("_a.directory") == F.col("_dir")).groupBy("_path").agg(F.max_by(F.struct("_dir", F.col("_said.licence").alias("licence")), F.col("_a.depth")).alias("_near"))
     out = found.join(near, F.col(path) == F.col("_path"), "left")
     own = F.col("licence").isNotNull()
-    return out.select(
-        *(F.col(c) for c in found.columns),
+    out = out.select(
+        *found.columns,
         F.when(own, F.col("licence")).otherwise(F.col("_near.licence")).alias("effective"),
         F.when(own, "own").when(F.col("_near").isNotNull(), "inherited").otherwise("none").alias("basis"),
         F.when(~own, F.col("_near._dir")).alias("from_directory"),
     )
+    return named(out, "effective", "basis", "from_directory")
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, table, whole_text, with_row_numbers, written
+from .common import WORD, apart, table, whole_text, with_row_numbers, written
 
 #: Offsets are multiples of 2^-20, so that sums with whole copies are exact.
 STEPS = 1 << 20
@@ -68,14 +68,14 @@ def word_count(text: str = "text"):
     return F.regexp_count(whole_text(text), F.lit(WORD))
 
 
-def emitted(docs: DataFrame, size, **how) -> DataFrame:
-    """The mix itself: rows of docs, each as many times as it is taken."""
-    names = docs.columns
-    docs = with_row_numbers(docs, "__row")
-    rows = docs.select(F.col("__row").alias("_row"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_doc"))
-    plan = mix(docs, size, extra=("__row",), **how).filter(F.col("copies") > 0)
-    rows = rows.join(plan.select(F.col("__row").alias("_row"), "copies"), "_row")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"_doc.`{c}`").alias(c) for c in names))
+def emitted(docs: DataFrame, size, text: str = "text", **how) -> DataFrame:
+    """The mix itself: rows of docs, each as many times as it is taken. size is a Column of ``text``, the identifier and
+    the source (word_count, for one); any further columns pass, whatever their names."""
+    docs, named = apart(docs, (text, how.get("ident", "doc_id"), how.get("source", "source")))
+    docs = with_row_numbers(docs, "_row")
+    plan = mix(docs, size, extra=("_row",), **how).filter(F.col("copies") > 0)
+    rows = docs.join(plan.select("_row", "copies"), "_row")
+    return named(rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, shipped, table, whole_text
+from .common import free_name, in_arrow, shipped, table, whole_text
 from .labelled import held_out, sigmoid, trained, training_rows
 
 BITS = 18
@@ -93,16 +93,17 @@ def model(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     return trained(training_rows(docs, labels, label, most, **names), fit)
 
 
-def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep`` and ``score``, from 0 to 1: how likely the whole text is of good quality.
+def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """The columns of ``keep`` and a score, from 0 to 1: how likely the whole text is of good quality.
 
-    A kept column named score is replaced. A null text counts as empty; texts without words get the score of the bias alone, as all do if there were no
+    The result is called ``out``, a kept column of that name is replaced; any other keeps its name and values. A null text counts as empty; texts without words get the score of the bias alone, as all do if there were no
     labelled rows. Equal texts get equal scores.
     """
     sent = shipped(docs.sparkSession, weights)
-    keep = tuple(c for c in keep if c != "score")
-    rows = docs.select(*keep, whole_text(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+    keep = tuple(c for c in keep if c != out)
+    hidden = free_name((*keep, out), "_text")
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), whole_text(f"`{text}`").alias(hidden))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != hidden)
 
     def make():
         w, words = sent.value, Words()
@@ -110,14 +111,14 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple
 
         def step(cols):
             z = []
-            for t in cols.pop("__text"):
+            for t in cols.pop(hidden):
                 at = features(words, t)
                 z.append(bias + (SCALE * float(w[at].mean()) if at.size else 0.0))
-            return cols | {"score": sigmoid(np.array(z))}
+            return cols | {out: sigmoid(np.array(z))}
 
         return step
 
-    return in_arrow(rows, f"{schema}, score double", make)
+    return in_arrow(rows, f"{schema}`{out}` double", make)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

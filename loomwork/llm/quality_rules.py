@@ -18,8 +18,9 @@ from collections.abc import Iterator
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import in_arrow, shipped, table, whole_text
+from .common import free_name, in_arrow, shipped, table, whole_text
 from .labelled import minimise, trained, training_rows
 
 #: Training rows at most.
@@ -190,22 +191,22 @@ class Labeller:
         return out[::-1][: len(bits)]
 
 
-def judge(text: str, label: Labeller) -> tuple[int, int, int, int, int, bool, float, bool]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, kept."""
+def judge(text: str, label: Labeller) -> tuple[int, int, int, int, int, bool, bool, float]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_share."""
     n, repeated = repeat_words(text)
     bits, sizes, again = lines_of(text)
     content = sum(s for s, is_content in zip(sizes, label(bits), strict=True) if is_content)
     failed = n < FEWEST or 100 * repeated > REPEATED * n
     share = content / n if n else 0.0
     chars = len(text) - sum(map(text.count, _SPACES))
-    return n, chars, sum(map(text.count, SYMBOLS)), again, repeated, failed, share, not failed and share >= CONTENT
+    return n, chars, sum(map(text.count, SYMBOLS)), again, repeated, failed, not failed and share >= CONTENT, share
 
 
 def model(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, **names) -> np.ndarray:
     return trained(training_rows(docs, labels, label, most, **names), fit)
 
 
-COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept")
+COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
 def judged(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -216,19 +217,20 @@ def judged(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple
     """
     sent = shipped(docs.sparkSession, weights)
     keep = tuple(c for c in keep if c not in COLUMNS)
-    rows = docs.select(*keep, whole_text(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+    hidden = free_name((*keep, *COLUMNS), "_text")
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), whole_text(f"`{text}`").alias(hidden))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != hidden)
 
     def make():
         label = Labeller(sent.value)
 
         def step(cols):
-            found = [judge(t, label) for t in cols.pop("__text")]
+            found = [judge(t, label) for t in cols.pop(hidden)]
             return cols | dict(zip(COLUMNS, zip(*found, strict=True), strict=True)) if found else None
 
         return step
 
-    return in_arrow(rows, f"{schema}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean", make)
+    return in_arrow(rows, f"{schema}n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double", make)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

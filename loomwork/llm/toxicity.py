@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, shipped, table, whole_text
+from .common import free_name, in_arrow, shipped, table, whole_text
 from .labelled import held_out, minimise, sigmoid, trained, training_rows
 
 BITS = 19
@@ -46,6 +46,17 @@ class Grams:
         return found.astype(np.uint32)
 
 
+def log_ratios(at: np.ndarray, toxic: np.ndarray, size: int = 1 << BITS) -> np.ndarray:
+    """Of each hash value, the log of its smoothed share among the features of toxic texts over that among others'. at:
+    the features of all texts; toxic: 1 or 0 for each. Values of fewer than LEAST texts get 0."""
+    many, p = np.bincount(at, minlength=size), np.bincount(at, toxic, size)
+    q = SMOOTH + many - p
+    p = SMOOTH + p
+    out = np.log((p / p.sum()) / (q / q.sum()))
+    out[many < LEAST] = 0
+    return out
+
+
 def fit(batches: Iterator[tuple[list[str], list[int]]]) -> np.ndarray:
     """The weight of each hash value, and the bias at the end."""
     grams, rows, ys = Grams(), [], []
@@ -57,11 +68,7 @@ def fit(batches: Iterator[tuple[list[str], list[int]]]) -> np.ndarray:
     if not rows or y.min() == y.max():
         return np.append(np.zeros(size), -1.0 if not rows or y[0] == 0 else 1.0)
     at, lens = np.concatenate(rows), np.array([r.size for r in rows])
-    many = np.bincount(at, minlength=size)
-    p = SMOOTH + np.bincount(at, np.repeat(y, lens), size)
-    q = SMOOTH + many - (p - SMOOTH)
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
-    ratio[many < LEAST] = 0
+    ratio = log_ratios(at, np.repeat(y, lens), size)
     # only hash values that training texts have and whose ratio isn't 0 get a weight
     own = np.flatnonzero(ratio)
     back = np.zeros(size, np.int32)
@@ -89,27 +96,28 @@ def model(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     return trained(training_rows(docs, labels, label, most, **names), fit)
 
 
-def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep`` and ``score``, from 0 to 1: how likely the whole text is toxic.
+def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
+    """The columns of ``keep`` and a score, from 0 to 1: how likely the whole text is toxic.
 
-    A kept column named score is replaced. A null text counts as empty; empty texts get the score of the bias alone. Equal texts get equal scores. Texts
+    The result is called ``out``, a kept column of that name is replaced; any other keeps its name and values. A null text counts as empty; empty texts get the score of the bias alone. Equal texts get equal scores. Texts
     without a known n-gram, and all texts if there were no labelled rows of both kinds, get the bias's as well.
     """
     sent = shipped(docs.sparkSession, weights)
-    keep = tuple(c for c in keep if c != "score")
-    rows = docs.select(*keep, whole_text(text).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+    keep = tuple(c for c in keep if c != out)
+    hidden = free_name((*keep, out), "_text")
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), whole_text(f"`{text}`").alias(hidden))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != hidden)
 
     def make():
         w, grams = sent.value, Grams()
 
         def step(cols):
-            z = np.array([float(w[grams(t)].sum()) + float(w[-1]) for t in cols.pop("__text")])
-            return cols | {"score": sigmoid(z)}
+            z = np.array([float(w[grams(t)].sum()) + float(w[-1]) for t in cols.pop(hidden)])
+            return cols | {out: sigmoid(z)}
 
         return step
 
-    return in_arrow(rows, f"{schema}, score double", make)
+    return in_arrow(rows, f"{schema}`{out}` double", make)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
