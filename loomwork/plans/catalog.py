@@ -545,10 +545,12 @@ def graph_reweighted(spark, d):
     return graph.reweighted(_merged(spark, d).filter("weight < 1").select("u", "v", "weight"), one)
 
 
-@query(f"""WITH RECURSIVE {_MERGED}, i AS (SELECT u AS a, v AS b FROM mg WHERE weight <> 1.5 UNION SELECT v, u FROM mg WHERE weight <> 1.5), cc(node, root) AS (SELECT DISTINCT a, a FROM i UNION SELECT i.b, cc.root FROM cc JOIN i ON i.a = cc.node)
-SELECT node, min(root) AS root FROM cc GROUP BY node""")
+@query(f"""WITH RECURSIVE {_MERGED}, i AS (SELECT u AS a, v AS b FROM mg UNION SELECT v, u FROM mg),
+cc(node, root) USING KEY (node) AS (SELECT a AS node, min(least(a, b)) AS root FROM i GROUP BY a
+  UNION SELECT i.b, min(cc.root) FROM cc JOIN i ON i.a = cc.node JOIN recurring.cc AS k ON k.node = i.b WHERE cc.root < k.root GROUP BY i.b)
+SELECT node, root FROM cc""")
 def graph_components(spark, d):
-    return components.components(_merged(spark, d).filter("weight <> 1.5").select("u", "v"))
+    return components.components(_merged(spark, d).select("u", "v"))
 
 
 @query()
