@@ -291,7 +291,7 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path):
         near = texts[rnd.randrange(20)].split(" ")
         near[rnd.randrange(len(near))] = f"w{i}"
         texts.append(" ".join(near))
-    rows = [(i, t, "en", [None, "a", "b", "c"][i % 4], len(t)) for i, t in enumerate([*texts, None, ""])]
+    rows = [(i, t, "en", [None, "a", "b", "c"][i % 4], len(t or "")) for i, t in enumerate([*texts, None, ""])]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(rows, schema).repartition(2).write.parquet(str(tmp_path / "t"))
     docs = spark.read.parquet(str(tmp_path / "t"))
