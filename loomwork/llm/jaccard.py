@@ -6,9 +6,11 @@
 3. Pairs in buckets of up to ``SMALL`` rows are compared value by value: after each step of values a pair goes if
    the posterior probability that its similarity reaches the threshold is under TOLERANCE. The rest is verified on
    the shingle sets.
-4. Larger buckets are not turned into pairs. Rows that share large buckets make a group, dealt into blocks; two
-   blocks at a time are compared in the same way, all pairs in place, and give counts of links and edges that span
-   what they connect. So a group of any size has bounded tasks, and no link is left out.
+4. Larger buckets are not turned into pairs. Rows that share large buckets make a group, dealt into blocks by the
+   least of their large buckets, so that candidates lie together. Two blocks that have rows in one large bucket are a
+   cell; its rows are compared in the same way, all pairs in place, and give counts of links and edges that span what
+   they connect. Blocks without a common bucket never meet, so work follows candidates; a cell has a bounded size,
+   whatever the group's, and no link is left out. Pairs of small buckets that a cell has are left to it.
 5. Components of the links are the classes of near duplicates.
 
 Joins that carry texts, sets or signatures are sort-merge joins at every size, so that small inputs are planned as
@@ -208,20 +210,31 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
     keys = leads.select("row", band.alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("least")).filter("n > 1")
     shared = written(shared, "shared")
-    buckets = written(keys.join(shared, "key"), "buckets")
+    buckets = written(keys.join(shared, "key"), "buckets", release=True)
 
     # large buckets: groups
     stars = buckets.filter(F.col("n") > small).filter("row <> least").select(F.col("row").alias("u"), F.col("least").alias("v"))
     groups = components(stars)
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    groups = written(groups.join(sizes, "root").select(F.col("node").alias("row"), F.col("root").alias("grp"), F.ceil(F.col("size") / block).cast("int").alias("blocks")), "groups")
+    large = buckets.filter(F.col("n") > small).select("key", "row")
+    home = large.groupBy("row").agg(F.min("key").alias("home"))
+    groups = groups.join(sizes, "root").select(F.col("node").alias("row"), F.col("root").alias("grp"), F.ceil(F.col("size") / block).alias("blocks"))
+    groups = written(groups.join(home, "row").select("row", F.xxhash64("grp", F.pmod(F.xxhash64("home"), "blocks")).alias("part")), "groups", release=True)
+    # buckets that many rows have for their least make parts that are too large for a block
+    parts = written(groups.groupBy("part").agg(F.ceil(F.count("*") / block).alias("slices")), "parts")
+    placed = written(groups.join(parts, "part").select("row", F.xxhash64("part", F.pmod(F.xxhash64("row"), "slices")).alias("blk")), "placed")
+    spread_over = written(large.join(placed, "row").select("key", "blk").distinct(), "spread", release=True)
+    meets = spread_over.select("key", F.col("blk").alias("a")).join(spread_over.select("key", F.col("blk").alias("b")), "key").filter("a <= b")
+    cells = written(meets.select("a", "b").distinct(), "cells", release=True)
 
     # small buckets: pairs
     lists = buckets.filter(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list("row")).alias("rows")).select("rows").distinct()
     pairs = lists.select(F.explode(F.expr("flatten(transform(rows, (x, i) -> transform(slice(rows, i + 2, size(rows)), y -> struct(x as a, y as b))))")).alias("p")).select("p.*").distinct()
-    in_group = groups.select("row", "grp")
-    pairs = pairs.join(in_group.select(F.col("row").alias("a"), F.col("grp").alias("ga")), "a", "left").join(in_group.select(F.col("row").alias("b"), F.col("grp").alias("gb")), "b", "left")
-    pairs = pairs.filter("ga IS NULL OR gb IS NULL OR ga <> gb").select("a", "b")
+    for side in "ab":
+        pairs = pairs.join(placed.select(F.col("row").alias(side), F.col("blk").alias(f"_{side}")), side, "left")
+    known = cells.select(F.col("a").alias("_lo"), F.col("b").alias("_hi"))
+    pairs = pairs.withColumns({"_lo": F.least("_a", "_b"), "_hi": F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.greatest("_a", "_b"))})
+    pairs = pairs.join(known, ["_lo", "_hi"], "left_anti").select("a", "b")
     enough = least_agreements(threshold)
     sigs = leads.select("row", "sig")
     pairs = pairs.hint("merge").join(sigs.select(F.col("row").alias("a"), F.col("sig").alias("sa")), "a").hint("merge").join(sigs.select(F.col("row").alias("b"), F.col("sig").alias("sb")), "b")
@@ -234,8 +247,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
 
         return step
 
-    likely = written(in_arrow(pairs, "a long, b long", prune), "likely")
-    needed = likely.select(F.col("a").alias("row")).unionByName(likely.select(F.col("b").alias("row"))).unionByName(groups.select("row")).distinct()
+    likely = written(in_arrow(pairs, "a long, b long", prune), "likely", release=True)
+    needed = likely.select(F.col("a").alias("row")).unionByName(likely.select(F.col("b").alias("row"))).unionByName(placed.select("row")).distinct()
 
     def spread():
         shingles = Shingles(shingle)
@@ -248,7 +261,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
 
     sets = in_arrow(rows.select("row", "text").join(needed.hint("merge"), "row", "left_semi"), "row long, shingles binary, sig binary", spread)
     many = classes.select("row", "many")
-    sets = written(sets.hint("merge").join(many, "row"), "sets")
+    sets = written(sets.hint("merge").join(many, "row"), "sets", release=True)
 
     def verify():
         def step(cols):
@@ -259,14 +272,12 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
         return step
 
     left, right = (sets.select(F.col("row").alias(k), F.col("shingles").alias(f"x{k}"), F.col("many").alias(f"m{k}")) for k in "ab")
-    links = written(in_arrow(likely.hint("merge").join(left, "a").hint("merge").join(right, "b"), "a long, b long, ma long, mb long", verify), "links")
+    links = written(in_arrow(likely.hint("merge").join(left, "a").hint("merge").join(right, "b"), "a long, b long, ma long, mb long", verify), "links", release=True)
 
     # blocks of groups, two at a time
-    placed = groups.withColumn("own", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.select("row", "grp", "own", other.alias("other"))
-    placed = placed.select("row", F.xxhash64("grp", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), (F.col("own") == F.col("other")).alias("same"))
-    cells = placed.hint("merge").join(sets, "row").repartition("cell").sortWithinPartitions("cell")
+    in_cell = lambda side, rest: cells.filter(rest).select(F.col(side).alias("blk"), F.xxhash64("a", "b").alias("cell"), F.lit(int(side == "b")).alias("side"), (F.col("a") == F.col("b")).alias("same"))
+    members = placed.join(in_cell("a", "true").unionByName(in_cell("b", "a <> b")), "blk").select("row", "cell", "side", "same")
+    dealt = members.hint("merge").join(sets, "row").repartition("cell").sortWithinPartitions("cell")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(cell: list[dict]) -> pa.RecordBatch:
@@ -285,7 +296,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = S
         if cell:
             yield done(cell)
 
-    dense = written(cells.mapInArrow(blocks, "row long, n long, to long"), "dense")
+    dense = written(dealt.mapInArrow(blocks, "row long, n long, to long"), "dense", release=True)
 
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(dense.select(F.col("row").alias("u"), F.col("to").alias("v")))
     roots = components(edges)
