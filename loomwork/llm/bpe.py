@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import free_name, in_arrow, shipped, table, whole_text
 
-#: Pre-tokens that a task remembers at most, and the longest of them in characters.
-REMEMBERED, LONGEST = 1_000_000, 64
-#: Characters split at a time, and ids decoded at a time.
-BLOCK = 1_000_000
+#: Pre-tokens that a worker remembers at most, and the longest of them in characters.
+REMEMBERED, LONGEST = 240_000, 64
+#: Characters split at a time, and ids decoded at a time. What a block needs comes on top of what is remembered.
+BLOCK = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -77,7 +77,9 @@ class Encoder:
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        # the ids of pre-tokens met lately, and of those met before; what is met again moves to the first
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each pre-token. All share one list and one queue, so a bucket is found once for the many
@@ -143,10 +145,14 @@ class Encoder:
 
     def _ids(self, texts: list[list[str]]) -> list[bytes]:
         """Of each list of pre-tokens, the ids."""
-        known = self.known
-        if len(known) >= REMEMBERED:
-            known.clear()
-        fresh = list({p for pieces in texts for p in pieces if p not in known})
+        if len(self.known) >= REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        known, older, fresh = self.known, self.older, []
+        for p in {p for pieces in texts for p in pieces if p not in known}:
+            if p in older:
+                known[p] = older[p]
+            else:
+                fresh.append(p)
         packed = [np.array(ids, "<u4").tobytes() for ids in self.merge([p.encode("utf-8", "surrogatepass") for p in fresh])]
         known.update(zip(fresh, packed, strict=True))
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
@@ -205,19 +211,23 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     """docs with ``out``, the ids of the whole text as an array of ints; a null or empty text has none. A column
     of that name is replaced. Any other column, null or not, passes as it is."""
     sent = _sent(docs, path, pattern)
-    hidden = free_name((*docs.columns, out), "_text")
-    docs = docs.withColumn(hidden, whole_text(f"`{text}`")).drop(out)
+    # the text goes through the workers once; apart from its column only if that one is replaced
+    name = next(c for c in docs.columns if c.lower() == text.lower())
+    if out.lower() == name.lower():
+        name = free_name((*docs.columns, out), "_text")
+        docs = docs.withColumn(name, F.col(f"`{text}`"))
+    docs = docs.drop(out)
 
     def make():
         coder = _encoder(sent)
 
         def step(cols):
-            return cols | {out: [np.frombuffer(ids, "<u4").astype(np.int32) for ids in coder.encode(cols.pop(hidden))]}
+            return cols | {out: [np.frombuffer(ids, "<u4").astype(np.int32) for ids in coder.encode([t or "" for t in cols[name]])]}
 
         return step
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != hidden)
-    return in_arrow(docs, f"{schema}, `{out}` array<int>", make)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != name or out.lower() != text.lower())
+    return in_arrow(docs, f"{schema}`{out}` array<int>", make)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", ident: str = "doc_id") -> DataFrame:

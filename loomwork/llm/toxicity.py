@@ -104,15 +104,16 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", keep: tuple
     """
     sent = shipped(docs.sparkSession, weights)
     keep = tuple(c for c in keep if c != out)
-    hidden = free_name((*keep, out), "_text")
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), whole_text(f"`{text}`").alias(hidden))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != hidden)
+    # a text that is kept goes through the workers once
+    name = text if text in keep else free_name((*keep, out), "_text")
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), *(() if name in keep else (whole_text(f"`{text}`").alias(name),)))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in keep)
 
     def make():
         w, grams = sent.value, Grams()
 
         def step(cols):
-            z = np.array([float(w[grams(t)].sum()) + float(w[-1]) for t in cols.pop(hidden)])
+            z = np.array([float(w[grams(t or "")].sum()) + float(w[-1]) for t in cols[name]])
             return cols | {out: sigmoid(z)}
 
         return step

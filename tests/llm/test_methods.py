@@ -345,3 +345,45 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path):
     other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
     for r in stage["byte-level BPE"](spark, docs, "").collect():
         assert r.tokens == other.encode_ordinary(r.text or "")
+
+
+def test_what_an_encoder_remembers_is_bounded(monkeypatch):
+    """The ids are those of a fresh encoder, however little is remembered and however small a block is."""
+    import public_tokenizers
+
+    from loomwork.llm import bpe
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = [" ".join(f"word{i * j % 977}x the {'y' * (i % 90)}" for j in range(40)) for i in range(200)] + ["", "z" * 5000]
+    want = [bpe.Encoder(ranks, public_tokenizers.PATTERN).encode([t])[0] for t in (texts[0], texts[150], texts[-2], texts[-1])]
+    monkeypatch.setattr(bpe, "REMEMBERED", 400)
+    monkeypatch.setattr(bpe, "BLOCK", 2000)
+    coder, most = bpe.Encoder(ranks, public_tokenizers.PATTERN), 0
+    for lo in range(0, len(texts), 10):
+        got = coder.encode(texts[lo : lo + 10])
+        most = max(most, len(coder.known) + len(coder.older))
+        for t, ids in ((0, want[0]), (150, want[1]), (len(texts) - 2, want[2]), (len(texts) - 1, want[3])):
+            if lo <= t < lo + 10:
+                assert got[t - lo] == ids
+    assert most < 2 * 400
+    # what is met in every block is never encoded again
+    assert " the" in coder.known or " the" in coder.older
+
+
+def test_a_text_goes_through_the_workers_once(spark, tmp_path):
+    """The pipeline's stages in Python get the text in one column, and null texts stay null in it."""
+    import numpy as np
+    import public_tokenizers
+
+    from loomwork.llm import bpe, toxicity
+
+    docs = spark.createDataFrame([(1, "a text", "b"), (2, None, "c")], "doc_id long, text string, lang string")
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded, scored = bpe.encode(docs, path, pattern), toxicity.scored(docs, np.zeros((1 << toxicity.BITS) + 1), keep=("doc_id", "text", "lang"))
+    for out in (encoded, scored):
+        assert out._jdf.queryExecution().analyzed().children().apply(0).schema().fieldNames().__len__() == 3
+        assert [r["text"] for r in out.orderBy("doc_id").collect()] == ["a text", None]
+    replaced = bpe.encode(docs, path, pattern, out="text")
+    assert replaced.columns == ["doc_id", "lang", "text"]
+    tokens = {r["doc_id"]: r["tokens"] for r in encoded.collect()}
+    assert {r["doc_id"]: r["text"] for r in replaced.collect()} == tokens and tokens[2] == [] and tokens[1]
