@@ -387,3 +387,28 @@ def test_a_text_goes_through_the_workers_once(spark, tmp_path):
     assert replaced.columns == ["doc_id", "lang", "text"]
     tokens = {r["doc_id"]: r["tokens"] for r in encoded.collect()}
     assert {r["doc_id"]: r["text"] for r in replaced.collect()} == tokens and tokens[2] == [] and tokens[1]
+
+
+def test_rows_are_told_apart_by_their_numbers(spark, tmp_path, monkeypatch):
+    """Numbers of several files and beyond 64; the texts that the joins of op3 don't need are not shuffled for them."""
+    from loomwork.llm import repeats
+
+    numbers = [*range(130), 63 + (1 << 40), 64 + (1 << 40), (5 << 40) + 127]
+    rows = spark.createDataFrame([(r, r, f"text {r}") for r in numbers], "row long, id long, text string")
+    want = {0, 63, 64, 65, 129, 64 + (1 << 40), (5 << 40) + 127}
+    wanted = spark.createDataFrame([(r,) for r in [*want, 63, 64, 63 + (2 << 40)]], "row long")
+    some, others = repeats.parted(rows, wanted, "told")
+    assert sorted(r.row for r in some.collect()) == sorted(want)
+    assert sorted(r.row for r in others.collect()) == sorted(set(numbers) - want)
+    assert some.columns == others.columns == rows.columns
+    # copies among many texts that have none, with the numbers told apart and without
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abcdefgh") for _ in range(900)) for _ in range(300)]
+    texts += [texts[7], "x" + texts[9][100:700] + "y", texts[11] + texts[7][:450]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    found = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert {k: n for k, n in found.items() if n} == {7: 900, 9: 600, 11: 900, 300: 900, 301: 600, 302: 1350}
+    monkeypatch.setattr(repeats, "SENT", 0)
+    assert repeats.parted(rows, wanted, "told") == (rows, None)
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(docs).collect()} == found
