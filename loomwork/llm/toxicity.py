@@ -24,6 +24,8 @@ ORDERS = (3, 4, 5)
 SAMPLE = 4000
 #: Added to the counts; training texts that an n-gram needs; strength of the penalty on weights.
 SMOOTH, LEAST, PENALTY = 1.0, 3, 1e-3
+#: Features of training texts handled at a time, about.
+BLOCK = 1 << 20
 
 
 class Grams:
@@ -49,7 +51,10 @@ class Grams:
 def log_ratios(at: np.ndarray, toxic: np.ndarray, size: int = 1 << BITS) -> np.ndarray:
     """Of each hash value, the log of its smoothed share among the features of toxic texts over that among others'. at:
     the features of all texts; toxic: 1 or 0 for each. Values of fewer than LEAST texts get 0."""
-    many, p = np.bincount(at, minlength=size), np.bincount(at, toxic, size)
+    many, p = np.zeros(size, np.int64), np.zeros(size)
+    for lo in range(0, at.size, BLOCK):
+        many += np.bincount(at[lo : lo + BLOCK], minlength=size)
+        p += np.bincount(at[lo : lo + BLOCK], toxic[lo : lo + BLOCK], size)
     q = SMOOTH + many - p
     p = SMOOTH + p
     out = np.log((p / p.sum()) / (q / q.sum()))
@@ -68,22 +73,28 @@ def fit(batches: Iterator[tuple[list[str], list[int]]]) -> np.ndarray:
     if not rows or y.min() == y.max():
         return np.append(np.zeros(size), -1.0 if not rows or y[0] == 0 else 1.0)
     at, lens = np.concatenate(rows), np.array([r.size for r in rows])
-    ratio = log_ratios(at, np.repeat(y, lens), size)
+    del rows
+    ratio = log_ratios(at, np.repeat(y > 0, lens), size)
     # only hash values that training texts have and whose ratio isn't 0 get a weight
     own = np.flatnonzero(ratio)
     back = np.zeros(size, np.int32)
     back[own] = np.arange(own.size)
-    keep = ratio[at] != 0
-    lens = np.add.reduceat(np.append(keep, False).astype(np.int64), np.append(0, np.cumsum(lens))[:-1]) * (lens > 0)
+    keep = (ratio != 0)[at]
+    lens = np.add.reduceat(np.append(keep, False), np.append(0, np.cumsum(lens))[:-1], dtype=np.int64) * (lens > 0)
     at = back[at[keep]]
     starts, r, n = np.append(0, np.cumsum(lens)), ratio[own], len(y)
-    which = np.repeat(np.arange(n), lens)
+    cuts = np.unique(np.append(np.searchsorted(starts[:-1], np.arange(0, max(at.size, 1), BLOCK)), n))
+    blocks = [(a, b, at[starts[a] : starts[b]]) for a, b in zip(np.append(0, cuts)[:-1].tolist(), cuts.tolist(), strict=True) if a < b]
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        total = np.append(0, np.cumsum((w[:-1] * r)[at]))
-        z = total[starts[1:]] - total[starts[:-1]] + w[-1]
+        z, g, scaled = np.empty(n), np.zeros(own.size), w[:-1] * r
+        for a, b, some in blocks:
+            total = np.append(0, np.cumsum(scaled[some]))
+            z[a:b] = total[starts[a + 1 : b + 1] - starts[a]] - total[starts[a:b] - starts[a]] + w[-1]
         e = sigmoid(z) - y
-        g = np.bincount(at, e[which], own.size) * r / n + PENALTY * w[:-1]
+        for a, b, some in blocks:
+            g += np.bincount(some, np.repeat(e[a:b], lens[a:b]), own.size)
+        g = g * r / n + PENALTY * w[:-1]
         return float(np.logaddexp(0, z).mean() - (y * z).mean() + PENALTY / 2 * w[:-1].dot(w[:-1])), np.append(g, e.mean())
 
     w = minimise(loss, np.append(np.zeros(own.size), np.log(y.mean() / (1 - y.mean()))), 40)

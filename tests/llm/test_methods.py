@@ -412,3 +412,25 @@ def test_rows_are_told_apart_by_their_numbers(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(repeats, "SENT", 0)
     assert repeats.parted(rows, wanted, "told") == (rows, None)
     assert {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(docs).collect()} == found
+
+
+def test_toxicity_is_trained_in_blocks(monkeypatch):
+    """Counts need memory for a block of features, not for all; the size of a block doesn't change the weights."""
+    import tracemalloc
+
+    import numpy as np
+
+    from loomwork.llm import toxicity
+
+    at = np.tile(np.arange(1000, dtype=np.uint32), 4000)
+    tracemalloc.start()
+    toxicity.log_ratios(at, np.repeat(np.arange(4000) % 2 > 0, 1000), 1000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6  # 4 million features of 16 bytes are 64 MB
+    rnd = random.Random(3)
+    texts = ["", *(" ".join(rnd.choice(("bad", "worse", "fine", "good", "tree", "stone", "river"))[: 2 + i % 4] for _ in range(rnd.randrange(60))) for i in range(120)), "", ""]
+    labels = [int("bad" in t or "wor" in t and len(t) > 90) for t in texts]
+    whole = toxicity.fit(iter([(texts, labels)]))
+    monkeypatch.setattr(toxicity, "BLOCK", 50)
+    assert np.abs(whole).max() > 0.1 and np.allclose(whole, toxicity.fit(iter([(texts, labels)])), atol=1e-6)
