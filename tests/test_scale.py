@@ -1,8 +1,11 @@
 """Cases that larger tables bring."""
 
+import random
+
 import pytest
 
-from loomwork.operators import placement, splitting, stats
+from loomwork.operators import components, graph, placement, splitting, stats
+from loomwork.operators.matching import max_weight_matching
 from loomwork.sources import readers
 
 
@@ -37,3 +40,20 @@ def test_sequences_are_dealt_not_sent_to_the_driver(spark):
 
 def named(spark, name):
     return spark.createDataFrame([(name, "ACGT")], "name string, seq string")
+
+
+def test_large_graphs_are_contracted_and_settled_like_small_ones(spark, monkeypatch):
+    rnd = random.Random(8)
+    edges = {(f"n{min(a, b)}", f"n{max(a, b)}"): float(rnd.randint(1, 4)) for a, b in ((rnd.randrange(60), rnd.randrange(60)) for _ in range(50)) if a != b}
+    edges |= {(f"p{i:03}", f"p{i + 1:03}"): 1.0 for i in range(30)} | {("s0", f"s{i}"): 2.0 for i in range(1, 6)}
+    rows = spark.createDataFrame([(*sorted(k), w) for k, w in edges.items()], "u string, v string, weight double")
+    monkeypatch.setattr(components, "SMALL", 0)
+    monkeypatch.setattr(graph, "SMALL", 0)
+    found = graph.matched(rows)
+    assert sorted((r.u, r.v) for r in found.collect()) == max_weight_matching([(*k, w) for k, w in edges.items()])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()  # nothing is done again by its readers
+    root = {x: x for k in edges for x in k}
+    for _ in root:
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    assert {r.node: r.root for r in components.components(rows).collect()} == root
