@@ -71,40 +71,45 @@ def useful_for_patching(alns: DataFrame, length: int, distance: float) -> DataFr
     return alns.join(good, "query", "left_semi").select(*alns.columns)
 
 
-def single_cover(alns: DataFrame, stretches: bool = False) -> DataFrame:
-    """Per alignment with query bases that no other alignment of the query covers: query, line_no, ``alone``
-    (how many) and, if asked for, ``stretches`` (of which bases).
+def unique_anchors(alns: DataFrame, length: int, keep_small: bool = False) -> DataFrame:
+    """Alignments that alone cover at least ``length`` query bases; with keep_small also those whose interval is
+    one stretch that they cover alone. line_no must be unique in a query and positive.
 
     A sweep over interval ends, by position, row and start before end: where the running depth is 1, the running
-    sum of signed row numbers names the alignment that is open. One sort and one aggregate, no self-join.
+    sum of signed row numbers names the alignment that is open. The events of a row's start carry the row, and each
+    event gives its stretch to the alignment that is open, so rows and stretches meet in one aggregate: all is dealt
+    out by query once, and there is no join.
     """
-    ends = F.array(
-        F.struct(F.col("query_start").alias("pos"), F.lit(0).alias("kind"), F.lit(1).cast("long").alias("sign")),
-        F.struct(F.col("query_end").alias("pos"), F.lit(1).alias("kind"), F.lit(-1).cast("long").alias("sign")),
-    )
-    events = alns.select("query", "line_no", F.explode(ends).alias("e")).select("query", "line_no", "e.*")
+    row = F.struct(*(F.col(c) for c in alns.columns if c not in ("query", "line_no")))
+    event = lambda pos, kind, sign, row: F.struct(F.col(pos).cast("long").alias("pos"), F.lit(kind).alias("kind"), F.lit(sign).cast("long").alias("sign"), row.alias("row"))
+    ends = F.array(event("query_start", 0, 1, row), event("query_end", 1, -1, F.lit(None)))
+    # one shuffle, unless the rows are dealt out by query already
+    events = _by_query(alns).select("query", "line_no", F.explode(ends).alias("e")).select("query", "line_no", "e.*")
     order = Window.partitionBy("query").orderBy("pos", "line_no", "kind")
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     swept = events.select(
-        "query", "pos",
+        "query", "line_no", "row", "pos",
         F.lag("pos").over(order).alias("from"),
         F.sum("sign").over(past).alias("depth"),
         F.sum(F.col("sign") * F.col("line_no")).over(past).alias("open"),
-    ).filter("depth = 1")
-    which = [F.collect_set(F.struct("from", "pos")).alias("stretches")] if stretches else []
-    return swept.groupBy("query", F.col("open").alias("line_no")).agg(F.sum(F.col("pos") - F.col("from")).alias("alone"), *which)
-
-
-def unique_anchors(alns: DataFrame, length: int, keep_small: bool = False) -> DataFrame:
-    """Alignments that alone cover at least ``length`` query bases; with keep_small also those whose interval is
-    one stretch that they cover alone. line_no must be unique in a query and positive."""
-    alone = single_cover(alns, keep_small)
-    found = alns.join(alone, ["query", "line_no"], "left")
-    keep = F.coalesce(F.col("alone"), F.lit(0)) >= length
-    if keep_small:
-        exact = F.array_contains("stretches", F.struct(F.col("query_start").alias("from"), F.col("query_end").alias("pos")))
-        keep = keep | F.coalesce(exact, F.lit(False))
-    return found.filter(keep).select(*alns.columns)
+    )
+    none = F.lit(None)
+    own = F.struct("line_no", none.cast("long").alias("alone"), "row")
+    stretch = F.struct(F.col("open").alias("line_no"), (F.col("pos") - F.col("from")).alias("alone"), none.cast(swept.schema["row"].dataType).alias("row"))
+    given = F.filter(F.array(F.when(F.col("row").isNotNull(), own), F.when(F.col("depth") == 1, stretch)), lambda x: x.isNotNull())
+    met = swept.select("query", F.explode(given).alias("g")).select("query", "g.*").groupBy("query", "line_no")
+    found = met.agg(F.sum("alone").alias("_alone"), F.max("alone").alias("_longest"), F.first("row", ignorenulls=True).alias("row"))
+    keep = F.coalesce("_alone", F.lit(0)) >= length
+    if keep_small:  # stretches lie in their alignment's interval
+        keep = keep | F.coalesce(F.col("_longest") == F.col("row.query_end") - F.col("row.query_start"), F.lit(False))
+    return found.filter(keep).select(*(F.col(c) if c in ("query", "line_no") else F.col(f"row.{c}").alias(c) for c in alns.columns))
+
+
+def _by_query(alns: DataFrame) -> DataFrame:
+    """alns, dealt out by query before what follows makes more rows of them. A window asks for it, so that Spark shuffles
+    only where it must; an explicit repartition always would."""
+    at = Window.partitionBy("query").orderBy("line_no")
+    return alns.withColumn("_at", F.row_number().over(at)).filter("_at > 0").drop("_at")
 
 
 def uncontained_in_query(alns: DataFrame) -> DataFrame:

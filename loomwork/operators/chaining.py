@@ -12,8 +12,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from loomwork.tables import importable
 
@@ -33,7 +35,9 @@ def chained(alns: DataFrame, distance: int, careful: bool = True) -> DataFrame:
     strand agree, its reference start is within ``distance`` of the chain's reference end, and, if careful, the
     same holds on the query. Chains that others contain in the query go."""
     names = [f.strip().split()[0] for f in SCHEMA.split(",")]
-    rows = alns.select(*names).repartition("query", "ref").sortWithinPartitions("query", "ref", "ref_start", "ref_end", "line_no")
+    # the window deals rows out, unless they are by query already, and sorts them
+    order = Window.partitionBy("query", "ref").orderBy("ref_start", "ref_end", "line_no")
+    rows = alns.select(*names).withColumn("_at", F.row_number().over(order)).sortWithinPartitions("query", "ref", "ref_start", "ref_end", "line_no")
 
     target = to_arrow_schema(StructType.fromDDL(SCHEMA))
     importable(alns.sparkSession)
@@ -55,6 +59,7 @@ def chained(alns: DataFrame, distance: int, careful: bool = True) -> DataFrame:
                     if now:
                         done.append(now)
                     now = x
+                    del now["_at"]
             if done:
                 yield pa.RecordBatch.from_pylist(done, target)
         if now:

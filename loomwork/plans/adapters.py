@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwork.operators.placement import LAYOUT, gap_part, laid_out, sequence_part
+from loomwork.tables import spread
 
 QUERY_LEN, REF_LEN = 12_000, 200_000
 
@@ -17,14 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items: parts are queries, groups of suppliers references."""
-    rows = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    """Line items: parts are queries, groups of suppliers references. They are dealt out by query, as what follows is."""
+    rows = spread(table(spark, sf_dir, "lineitem").withColumn("query", F.col("l_partkey").cast("string")), "query")
+    order = Window.partitionBy("query").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     size = F.lit(200) + 20 * F.col("l_quantity").cast("long")
     qs = (F.col("l_orderkey") * 97 + F.col("l_linenumber") * 389) % 10_800
     rs = (F.col("l_orderkey") * 131 + F.col("l_suppkey") * 17 + F.col("l_linenumber")) % 190_000
     return rows.select(
-        F.col("l_partkey").cast("string").alias("query"), F.lit(QUERY_LEN).cast("long").alias("query_len"), qs.alias("query_start"), (qs + size).alias("query_end"),
+        "query", F.lit(QUERY_LEN).cast("long").alias("query_len"), qs.alias("query_start"), (qs + size).alias("query_end"),
         F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"),
         F.concat(F.lit("ref"), (F.col("l_suppkey") % 5).cast("string")).alias("ref"), F.lit(REF_LEN).cast("long").alias("ref_len"), rs.alias("ref_start"), (rs + size).alias("ref_end"),
         F.floor(size * (90 + F.col("l_linenumber")) / 100).alias("num_match"), size.alias("aln_len"), ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % 61).alias("mapq"),

@@ -4,8 +4,9 @@ import random
 
 import pytest
 
-from loomwork.operators import components, graph, placement, splitting, stats
+from loomwork.operators import alignments, components, graph, placement, splitting, stats
 from loomwork.operators.matching import max_weight_matching
+from loomwork.plans import adapters as ad
 from loomwork.sources import readers
 
 
@@ -57,3 +58,9 @@ def test_large_graphs_are_contracted_and_settled_like_small_ones(spark, monkeypa
         for u, v in edges:
             root[u] = root[v] = min(root[u], root[v])
     assert {r.node: r.root for r in components.components(rows).collect()} == root
+
+
+def test_alignments_are_dealt_out_once(spark):
+    rows = ad.alignments(spark, "/root/testdata/sf0.001")
+    plan = alignments.unique_anchors(rows, 200, True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
