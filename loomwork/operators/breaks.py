@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwork.tables import dealt, written
+
 from .placement import LAYOUT, laid_out, sequence_part
 
 
@@ -43,13 +45,15 @@ def thresholds(median: DataFrame) -> DataFrame:
 def filled(depth: DataFrame, lengths: DataFrame) -> DataFrame:
     """Stretches (seq, start, end, depth) over the whole of each sequence of lengths (seq, query_len): those of depth
     over 0, and stretches of depth 0 before, between and behind them, or one alone."""
-    order = Window.partitionBy("seq").orderBy("start")
-    rows = depth.filter("depth > 0").join(lengths, "seq").select("seq", "start", "end", F.col("depth").cast("long").alias("depth"), "query_len", F.coalesce(F.lag("end").over(order), F.lit(0)).cast("long").alias("_from"))
-    none = F.lit(0).cast("long").alias("depth")
-    holes = rows.filter("_from < start").select("seq", F.col("_from").alias("start"), F.col("start").alias("end"), none)
-    last = rows.groupBy("seq").agg(F.max("end").alias("_last"))
-    tails = lengths.join(last, "seq", "left").select("seq", F.coalesce("_last", F.lit(0)).alias("start"), F.col("query_len").alias("end"), none).filter("start < end")
-    return rows.select("seq", "start", "end", "depth").unionByName(holes).unionByName(tails)
+    every = Window.partitionBy("seq")
+    order = every.orderBy("start")
+    rows = lengths.join(dealt(depth.filter("depth > 0").select("seq", "start", "end", F.col("depth").cast("long").alias("depth"))), "seq", "left")
+    rows = rows.withColumns({"_from": F.coalesce(F.lag("end").over(order), F.lit(0)), "_end": F.coalesce(F.max("end").over(every), F.lit(0)), "_last": F.lead("start").over(order).isNull()})
+    own = lambda a, b, d: F.struct(F.col(a).cast("long").alias("start"), F.col(b).cast("long").alias("end"), d.cast("long").alias("depth"))
+    none, some = F.lit(0), F.col("start").isNotNull()
+    # one pass: each stretch with the hole before it, and the last (or a sequence without any) with the rest
+    out = F.array(F.when(some & (F.col("_from") < F.col("start")), own("_from", "start", none)), F.when(some, own("start", "end", F.col("depth"))), F.when(F.col("_last") & (F.col("_end") < F.col("query_len")), own("_end", "query_len", none)))
+    return rows.select("seq", F.explode(F.filter(out, lambda x: x.isNotNull())).alias("s")).select("seq", "s.*")
 
 
 def validated(breaks: DataFrame, depth: DataFrame, limits: DataFrame, window: int = 10_000, from_end: int = 1000) -> DataFrame:
@@ -61,6 +65,7 @@ def validated(breaks: DataFrame, depth: DataFrame, limits: DataFrame, window: in
 
     Stretches and windows meet in bins of a window's width, so a long stretch is many rows of one sequence, and no
     position is a row of its own."""
+    breaks = written(breaks.select("query", "query_len", "pos"), "breaks")  # read twice
     half, width = window // 2, max(1, window)
     rows = breaks.select("query", "query_len", "pos", F.greatest(F.col("pos") - half, F.lit(from_end)).alias("lo"), F.least(F.col("pos") + half, F.col("query_len") - from_end).alias("hi")).distinct().filter("lo < hi")
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor((b - 1) / width)))
