@@ -24,20 +24,22 @@ def adjacencies(layout: DataFrame) -> DataFrame:
     """Neighbouring components of an object with at most one gap between them: comp_a, strand_a, comp_b, strand_b
     and the gap's data; without a gap the evidence is ``bookend`` and the size 0. Two gaps in a row are an error."""
     order = Window.partitionBy("obj").orderBy("pid")
-    row = F.struct("comp", "orientation", "comp_type", "gap_len", "gap_type", "linkage", "linkage_evidence")
-    rows = layout.select("obj", "pid", "comp", "orientation", F.lead(row, 1).over(order).alias("x"), F.lead(row, 2).over(order).alias("y")).filter("comp IS NOT NULL AND x IS NOT NULL")
-    gap = F.col("x.comp").isNull()
-    rows = rows.withColumn("_two", F.when(gap & F.col("y").isNotNull() & F.col("y.comp").isNull(), F.raise_error(F.concat(F.lit("two gaps in a row in "), "obj"))).otherwise(F.lit(False))).filter("NOT _two")
-    rows = rows.filter(~gap | F.col("y.comp").isNotNull())
+    # column by column, so that those which nobody reads are not sorted and kept
+    after = [F.lead(c, 1).over(order).alias(f"x_{c}") for c in ("pid", "comp", "orientation", "comp_type", "gap_len", "gap_type", "linkage", "linkage_evidence")]
+    after += [F.lead(c, 2).over(order).alias(f"y_{c}") for c in ("pid", "comp", "orientation")]
+    rows = layout.select("obj", "pid", "comp", "orientation", *after).filter("comp IS NOT NULL AND x_pid IS NOT NULL")
+    gap = F.col("x_comp").isNull()
+    rows = rows.withColumn("_two", F.when(gap & F.col("y_pid").isNotNull() & F.col("y_comp").isNull(), F.raise_error(F.concat(F.lit("two gaps in a row in "), "obj"))).otherwise(F.lit(False))).filter("NOT _two")
+    rows = rows.filter(~gap | F.col("y_comp").isNotNull())
     return rows.select(
         F.col("comp").alias("comp_a"), F.col("orientation").alias("strand_a"),
-        F.when(gap, F.col("y.comp")).otherwise(F.col("x.comp")).alias("comp_b"),
-        F.when(gap, F.col("y.orientation")).otherwise(F.col("x.orientation")).alias("strand_b"),
-        F.when(gap, F.col("x.comp_type") == "N").alias("known"),
-        F.when(gap, F.col("x.gap_len")).otherwise(0).alias("gap_size"),
-        F.when(gap, F.col("x.gap_type")).alias("gap_type"),
-        F.when(gap, F.col("x.linkage") == "yes").otherwise(F.lit(False)).alias("linkage"),
-        F.when(gap, F.col("x.linkage_evidence")).otherwise(F.lit("bookend")).alias("linkage_evidence"),
+        F.when(gap, F.col("y_comp")).otherwise(F.col("x_comp")).alias("comp_b"),
+        F.when(gap, F.col("y_orientation")).otherwise(F.col("x_orientation")).alias("strand_b"),
+        F.when(gap, F.col("x_comp_type") == "N").alias("known"),
+        F.when(gap, F.col("x_gap_len")).otherwise(0).alias("gap_size"),
+        F.when(gap, F.col("x_gap_type")).alias("gap_type"),
+        F.when(gap, F.col("x_linkage") == "yes").otherwise(F.lit(False)).alias("linkage"),
+        F.when(gap, F.col("x_linkage_evidence")).otherwise(F.lit("bookend")).alias("linkage_evidence"),
     )
 
 
